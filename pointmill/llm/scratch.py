@@ -1,0 +1,49 @@
+"""Tables that cut lineage, written where every executor can read them.
+
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
+session without it (tests, notebooks in local mode) gets a temporary folder.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder shared by driver and executors, as a URI or path."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key = context.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="pointmill-")
+    return _LOCAL[key]
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/pointmill-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
