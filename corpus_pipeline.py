@@ -8,16 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import langid, packing
-from pointmill.llm.scratch import written
+from pointmill.llm import langid, neardup, packing, repeats
+from pointmill.plans.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go; a document without an id is kept by no key and goes too."""
-    found = langid.identified(docs, langid.fitted(docs)).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Documents whose language can't be told (null, or without a letter) go."""
+    return langid.kept(docs, langid.fitted(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays; so do rows without an id."""
+    others = neardup.classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that an earlier document has go; a document with none left goes, an untouched text stays as it is."""
+    found = repeats.with_kept(docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")), F.col("text").alias("whole__")))
+    text = F.when(F.col("n_removed") == 0, F.col("whole__")).otherwise(F.col("kept"))
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return left.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +40,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("packing", pack),
+]
 #: Language models and tokenizers are beyond SQL.
 ORACLE_SQL: str | None = None
 

@@ -55,6 +55,13 @@ class Backoff:
         self.grams = [self._logs(g) for g in grams]
         self.kept: dict[str, tuple[float, ...]] = {}
 
+    @classmethod
+    def of(cls, langs: list[str], words: dict, grams: list[dict]) -> Backoff:
+        """A model from its tables."""
+        own = cls.__new__(cls)
+        own.langs, own.words, own.grams, own.kept = langs, words, grams, {}
+        return own
+
     def _logs(self, table: dict[str, list[int]]) -> dict[str, tuple[float, ...]]:
         sums = [sum(c[k] for c in table.values()) + len(table) / 2 for k in range(len(self.langs))]
         return {x: tuple(math.log((c + 0.5) / (s or 1)) for c, s in zip(own, sums)) for x, own in table.items()}
@@ -144,11 +151,22 @@ def identified(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Backoff.__new__(Backoff)
-        own.langs, own.words, own.grams = shared.value
-        own.kept = {}
+        own = Backoff.of(*shared.value)
         for batch in batches:
             found = [own.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+
+
+def kept(docs: DataFrame, model: Backoff, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Backoff.of(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.predict(text.as_py())[0] != UNDETERMINED for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,24 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+OP6 = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS words FROM places
+), firsts AS (
+  SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words
+), covered AS (
+  SELECT doc_id, unnest(range(i, i + 50)) AS at FROM windows JOIN firsts USING (words) WHERE first_id < doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT at) AS at FROM covered GROUP BY doc_id
+)
+SELECT words.doc_id,
+  CAST(len(w) AS BIGINT) AS n_words,
+  CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(at, k)] END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op6_substring_dedup": OP6}

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path, written
+from ..plans.scratch import fresh_path, written
 
 CHUNK = 1 << 18
 INDEX = "archive string, offset long, length long, page_id long, record_type string"
