@@ -1,13 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (lines, and the sentences of a line), each reduced
+A text is cut into paragraphs (lines, long ones at some sentence ends), each reduced
 to a 64-bit digest; the set of different digests goes into a sketch of 24 cells,
 three per digest, that hold a count and the exclusive ors of digests and of their
 checks.  Two versions' sketches are subtracted cell by cell, which leaves only
 the differing digests, and peeling recovers them: a cell that holds one digest
 gives it away, its removal from its other cells opens more.  If that fails, both
 versions are sketched anew in a larger size: as many tables of 24 cells as the
-two have digests divided by six, then four times as many, and so on.  A larger
+two have digests divided by seven, then eight times as many, and so on.  A larger
 sketch is many small ones side by side, with the digest choosing the table.
 
 All of it is expressions over rows, without Python on the executors.  After
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TABLES, SLOTS, ROUNDS, RETRIES, PER_TABLE = 3, 8, 10, 4, 6
+TABLES, SLOTS, ROUNDS, RETRIES, PER_TABLE = 3, 8, 10, 3, 7
 MOST_BUCKETS, PER_BUCKET = 65536, 64
-#: Where a line is cut: at line ends, and at white space after a sentence's end.
-CUT = r"[\n\r]+|(?<=[.!?])\s+"
+#: Where a text is cut: at line ends, and within a line where a sentence ends before one that begins with a letter from A to H.
+CUT = r"[\n\r]+|(?<=[.!?])\s+(?=[A-H])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,27 +42,31 @@ def check(digest: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(digest), 32)
 
 
-def paragraphs(text: Column) -> Column:
-    """The different digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda x: x != ""), lambda x: F.xxhash64(x)))
+def _member(digest: Column, n: Column | None = None) -> Column:
+    """A digest with a bit for each of its three cells and its check."""
+    place = [F.shiftrightunsigned(digest, 3 * t).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for t in range(TABLES)]
+    bits = [F.call_function("shiftleft", F.lit(1 << (SLOTS * t)), p) for t, p in enumerate(place)]
+    return F.struct(digest.alias("k"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"), check(digest).alias("h"), (F.lit(1) if n is None else n).alias("n"))
 
 
-def _holds(digest: Column, cell: Column) -> Column:
-    """Whether the cell is one of the digest's."""
-    bits = F.when(cell < SLOTS, digest).when(cell < 2 * SLOTS, F.shiftrightunsigned(digest, 3)).otherwise(F.shiftrightunsigned(digest, 6))
-    return bits.bitwiseAND(F.lit(SLOTS - 1)) == cell % SLOTS
+def paragraphs(text: Column) -> Column:
+    """The different paragraphs of a text as digests with their cells: an array of k, m, h, n."""
+    digests = F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    return F.transform(digests, lambda x: _member(x))
 
 
 def _cell(n: Column, key: Column, sum_: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.cast("long").alias("k"), sum_.cast("long").alias("h"))
 
 
-def sketch(digests: Column) -> Column:
-    """The 24 cells of some digests."""
+_BITS = [1 << i for i in range(TABLES * SLOTS)]
+
+
+def sketch(members: Column) -> Column:
+    """The 24 cells of some paragraphs."""
     empty = _cell(F.lit(0), F.lit(0), F.lit(0))
-    add = lambda cell, x: _cell(cell.n + 1, cell.k.bitwiseXOR(x), cell.h.bitwiseXOR(check(x)))
-    numbers = F.array(*(F.lit(i).cast("long") for i in range(TABLES * SLOTS)))
-    return F.transform(numbers, lambda i: F.aggregate(F.filter(digests, lambda x: _holds(x, i)), empty, add))
+    add = lambda cell, x: _cell(cell.n + 1, cell.k.bitwiseXOR(x.k), cell.h.bitwiseXOR(x.h))
+    return F.transform(F.array(*map(F.lit, _BITS)), lambda bit: F.aggregate(F.filter(members, lambda x: x.m.bitwiseAND(bit) != 0), empty, add))
 
 
 def subtracted(one: Column, two: Column) -> Column:
@@ -80,13 +84,13 @@ def peeled(cells: Column) -> Column:
         return (F.abs(c.n) == 1) & (c.h == check(c.k))
 
     def removed(s: Column, found: Column) -> Column:
-        drop = lambda c, p: _cell(c.n - p.n, c.k.bitwiseXOR(p.k), c.h.bitwiseXOR(check(p.k)))
-        rest = F.transform(s.cells, lambda c, i: F.aggregate(F.filter(found, lambda p: _holds(p.k, i)), c, drop))
+        drop = lambda c, p: _cell(c.n - p.n, c.k.bitwiseXOR(p.k), c.h.bitwiseXOR(p.h))
+        rest = F.zip_with(s.cells, F.array(*map(F.lit, _BITS)), lambda c, bit: F.aggregate(F.filter(found, lambda p: p.m.bitwiseAND(bit) != 0), c, drop))
         ours = F.size(F.filter(found, lambda p: p.n == 1))
         return state(rest, s.left + ours, s.right + F.size(found) - ours, F.lit(False))
 
     def step(s: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(s.cells, single), lambda c: F.struct(c.k.alias("k"), c.n.alias("n"))))
+        found = F.array_distinct(F.transform(F.filter(s.cells, single), lambda c: _member(c.k, c.n)))
         return let(found, lambda f: F.when(F.size(f) == 0, state(s.cells, s.left, s.right, F.lit(True))).otherwise(removed(s, f)))
 
     begin = state(cells, F.lit(0), F.lit(0), F.lit(False))
@@ -94,11 +98,11 @@ def peeled(cells: Column) -> Column:
     return let(end, lambda s: F.struct((~F.exists(s.cells, lambda c: (c.n != 0) | (c.k != 0))).alias("ok"), s.left.alias("left"), s.right.alias("right")))
 
 
-def dealt(digests: Column, wide: Column, deep: Column) -> Column:
-    """The digests by table: ``wide`` times ``deep`` lists."""
+def dealt(members: Column, wide: Column, deep: Column) -> Column:
+    """The paragraphs by table: ``wide`` times ``deep`` lists."""
     of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    first = F.transform(of(wide), lambda i: F.filter(digests, lambda x: F.pmod(F.shiftrightunsigned(x, 9), wide) == i))
-    return F.flatten(F.transform(first, lambda own: F.transform(of(deep), lambda j: F.filter(own, lambda x: F.pmod(F.shiftrightunsigned(x, 36), deep) == j))))
+    first = F.transform(of(wide), lambda i: F.filter(members, lambda x: F.pmod(F.shiftrightunsigned(x.k, 9), wide) == i))
+    return F.flatten(F.transform(first, lambda own: F.transform(of(deep), lambda j: F.filter(own, lambda x: F.pmod(F.shiftrightunsigned(x.k, 36), deep) == j))))
 
 
 def larger(one: Column, two: Column, factor: int) -> Column:
@@ -121,7 +125,7 @@ def with_likeness(rows: DataFrame, name: str, one: str, two: str, cells_one: str
     """
     rows = rows.withColumn(name, peeled(subtracted(F.col(cells_one), F.col(cells_two))))
     for retry in range(RETRIES):
-        rows = rows.withColumn(name, F.when(F.col(f"{name}.ok"), F.col(name)).otherwise(larger(F.col(one), F.col(two), 4**retry)))
+        rows = rows.withColumn(name, F.when(F.col(f"{name}.ok"), F.col(name)).otherwise(larger(F.col(one), F.col(two), 8**retry)))
     share = (F.size(one) - F.col(f"{name}.left")) / (F.size(one) + F.col(f"{name}.right"))
     return rows.withColumn(name, F.when((F.size(one) == 0) & (F.size(two) == 0), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))))
 
