@@ -10,14 +10,14 @@ WITH words AS (
 ), firsts AS (
   SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words
 ), covered AS (
-  SELECT doc_id, unnest(range(i, i + 50)) AS at FROM windows JOIN firsts USING (words) WHERE first_id < doc_id
+  SELECT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN firsts USING (words) WHERE first_id < doc_id
 ), gone AS (
-  SELECT doc_id, list(DISTINCT at) AS at FROM covered GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT place) AS places FROM covered GROUP BY doc_id
 )
 SELECT words.doc_id,
   CAST(len(w) AS BIGINT) AS n_words,
-  CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(at, k)] END, ' ')) AS kept_sha256
+  CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(places, k)] END, ' ')) AS kept_sha256
 FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id
 """
 
