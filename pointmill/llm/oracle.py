@@ -2,7 +2,7 @@
 
 OP6 = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, [v FOR v IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF v <> ''] AS w FROM documents
 ), places AS (
   SELECT doc_id, w, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
 ), windows AS (
