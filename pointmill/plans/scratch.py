@@ -1,11 +1,16 @@
 """Tables that cut lineage, written where every executor can read them.
 
 The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-session without it (tests, notebooks in local mode) gets a temporary folder.
+session without it (tests, notebooks in local mode) gets a temporary folder,
+which goes when the process ends.  Tables in a named folder stay, as results
+are read from them lazily; ``removed`` deletes them.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,12 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = context.getCheckpointDir()
     if named:
-        return named.rstrip("/")
+        return re.sub(r"^file:/(?!/)", "file:///", named.rstrip("/"))
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = context.applicationId
     if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="pointmill-")
+        folder = tempfile.mkdtemp(prefix="pointmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[key] = f"file://{folder}"
     return _LOCAL[key]
 
 
