@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 OUT = "doc_id long, lang_pred string, score double"
 LONGEST = 4
-KEPT_WORDS = 200_000
+#: Marks of a word's edges; alone they speak for no language.
+EDGES = ("^", "$")
+KEPT_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,10 +70,10 @@ class Backoff:
 
     def _gram(self, gram: str) -> tuple[float, ...]:
         found = self.grams[len(gram) - 1].get(gram)
+        if gram in EDGES or found is None and len(gram) == 1:
+            return (0.0,) * len(self.langs)
         if found is not None:
             return found
-        if len(gram) == 1:
-            return (0.0,) * len(self.langs)
         parts = [self._gram(gram[:-1]), self._gram(gram[1:])]
         return tuple(sum(x) / 2 for x in zip(*parts))
 
