@@ -1,4 +1,4 @@
-"""PLY files: ray clouds, ground meshes, and labels from colours."""
+"""PLY files: points with rays, ground meshes, and labels from colours."""
 
 from __future__ import annotations
 
@@ -20,14 +20,14 @@ DEFAULT_RAY = (0.0, 0.0, 10.0)
 
 
 def header(n: int) -> bytes:
-    """Header of a ray cloud of n vertices; the count has a fixed width."""
+    """Header of a cloud of n vertices; the count has a fixed width."""
     names = ["float x", "float y", "float z", "double time", "float nx", "float ny", "float nz", "uchar red", "uchar green", "uchar blue", "uchar alpha"]
     lines = ["ply", "format binary_little_endian 1.0", f"element vertex {n:010d}", *(f"property {x}" for x in names), "end_header", ""]
     return "\n".join(lines).encode()
 
 
-def write_raycloud(points: DataFrame, path: str) -> int:
-    """Points in the order of their ids as a ray cloud; rays from ray_x, ray_y, ray_z if the table has them.
+def write_cloud(points: DataFrame, path: str) -> int:
+    """Points in the order of their ids; rays from ray_x, ray_y, ray_z if the table has them.
 
     The rows come to the driver partition by partition, sorted.
     """

@@ -152,9 +152,9 @@ def test_wood_does_not_cross_trees(cloud, column):
         woodleaf.propagated(points, cloud([(0, 0, 0)]).limit(0))
 
 
-def test_raycloud_and_labels(spark, cloud, tmp_path):
+def test_cloud_and_labels(spark, cloud, tmp_path):
     path = str(tmp_path / "cloud.ply")
-    assert ply.write_raycloud(cloud([(1, 2, 3), (4, 5, 6)]), path) == 2
+    assert ply.write_cloud(cloud([(1, 2, 3), (4, 5, 6)]), path) == 2
     rows = ply.parsed(Path(path).read_bytes())
     assert len(rows) == 2 and rows["nz"].tolist() == [10, 10] and rows["x"].tolist() == [1, 4]
     body = b"ply\nformat binary_little_endian 1.0\nelement vertex 4\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n"
