@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from ..plans.scratch import written
 
-MOST_CENTROIDS, PER_CELL, BLOCK, CHUNK = 256, 16, 1024, 256
+MOST_CENTROIDS, PER_CELL, BLOCK, CHUNK, KEPT_QUERIES = 256, 16, 1024, 256, 20_000
 FOUND = "key long, scores array<double>, ids array<array<long>>"
 
 
@@ -168,23 +168,32 @@ def searched(vectors: DataFrame, is_query: Column, top: int = 20, sample: int =
     stored = placed.mapInArrow(blocked, "block int, vector array<double>, ids array<long>, cell int").groupBy("block").agg(F.collect_list(F.struct("vector", "ids", "cell")).alias("entries"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, list[int]]]] = {}  # of the task's blocks together
+
+        def flush() -> pa.RecordBatch:
+            found = list(best.values())
+            out = [pa.array(list(best), pa.int64()), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())), pa.array([[i for _, i in f] for f in found], pa.list_(pa.list_(pa.int64())))]
+            best.clear()
+            return pa.RecordBatch.from_arrays(out, ["key", "scores", "ids"])
+
         for batch in batches:
             for r in range(batch.num_rows):
                 q, e = (batch.column(c).slice(r, 1).flatten() for c in (0, 1))
                 mine, ids = matrix(e.field("vector")), e.field("ids")
                 cell = e.field("cell").to_numpy()
                 scores = matrix(q.field("vector")) @ mine.T
-                found_scores, found_ids = [], []
-                for i, cells in enumerate(q.field("cells")):
+                for i, (key, cells) in enumerate(zip(q.field("key").to_pylist(), q.field("cells"))):
                     open_ = np.flatnonzero(np.isin(cell, cells.values.to_numpy()))
                     own = scores[i, open_]
                     if len(own) > top + 1:
                         bound = np.partition(own, len(own) - top - 1)[len(own) - top - 1]
                         open_ = open_[own >= bound]
                         own = scores[i, open_]
-                    found_scores.append(own)
-                    found_ids.append(ids.take(pa.array(open_)).to_pylist())
-                yield pa.RecordBatch.from_arrays([q.field("key"), pa.array(found_scores, pa.list_(pa.float64())), pa.array(found_ids, pa.list_(pa.list_(pa.int64())))], ["key", "scores", "ids"])
+                    new = [*best.get(key, ()), *zip(own.tolist(), ids.take(pa.array(open_)).to_pylist())]
+                    best[key] = sorted(new, key=lambda x: (-x[0], x[1][0]))[: top + 1]
+                if len(best) >= KEPT_QUERIES:
+                    yield flush()
+        yield flush()
 
     met = asked.join(stored, "block").select("queries", "entries").mapInArrow(rerank, FOUND)
     pairs = met.select("key", F.explode(F.arrays_zip("scores", "ids")).alias("x")).select("key", (-F.col("x.scores")).alias("far"), F.explode("x.ids").alias("vec_id"))
