@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from ..plans.scratch import written
 
 
+def _along(rows: DataFrame, name: str, to: DataFrame) -> DataFrame:
+    """The column's ids replaced by those that ``to`` gives for them."""
+    other = to.select(F.col("id").alias(name), F.col("label").alias("to__"))
+    return rows.join(other, name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
+
+
 def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """The smallest id of each node's component: columns id, component.
 
-    Every round hooks each node, and the label it has, to the smallest label
-    among its neighbours, then follows labels once (pointer jumping), so chains
-    shrink by halves.  Each round is written to the shared folder, which cuts
-    the lineage; only the number of changed labels reaches the driver.  Null
-    ends are ignored, an empty table gives no rows.
+    In every round each node moves to its smallest neighbour and on to where that
+    one moves, by doubling steps until none can move, and the edges are drawn
+    anew between the places where nodes ended; edges within one place go, so that
+    the table shrinks fast, and a chain is one place after the first round.
+    Edges and moves are written to the shared folder, which cuts the lineage.
+    Null ends are ignored, an empty table gives no rows.
     """
-    both = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    both = both.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    pairs = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("id"), "label"), "labels")
-    while True:
-        seen = pairs.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
-        moved = labels.join(seen, F.col("id") == F.col("u"), "left").select("id", "label", F.least("label", "near").alias("new"))
-        hooks = moved.select("id", F.col("new")).unionByName(moved.where("new < label").select(F.col("label").alias("id"), "new"))
-        hooked = hooks.groupBy("id").agg(F.min("new").alias("new"))
-        jump = hooked.select(F.col("id").alias("root"), F.col("new").alias("over"))
-        jumped = hooked.join(jump, F.col("new") == F.col("root"), "left").select("id", F.least("new", "over").alias("new"))
-        after = written(jumped.join(labels, "id").select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "labels")
-        labels = after.select("id", "label")
-        if after.where("changed").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    own = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    own = written(own.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not moves or not own.isEmpty():
+        ends = own.select("u", "v").unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        far = written(ends.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "moves")
+        while True:
+            onward = far.select(F.col("id").alias("label"), F.col("label").alias("onward"))
+            further = written(far.join(onward, "label").select("id", F.col("onward").alias("label"), (F.col("onward") < F.col("label")).alias("moved")), "moves")
+            if further.where("moved").isEmpty():
+                break
+            far = further.select("id", "label")
+        moves.append(far)
+        moved = _along(_along(own, "u", far), "v", far).where(F.col("u") != F.col("v"))
+        own = written(moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    found = moves[0]
+    for far in moves[1:]:
+        found = _along(found, "label", far)
+    return written(found.select("id", F.col("label").alias("component")), "components")
