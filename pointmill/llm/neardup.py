@@ -15,11 +15,22 @@ the threshold itself with evenly scattered edits, 94 % share a draw; of pairs
 with one word in fifteen changed, 99.9 %; the more the edits cluster, the more.
 
 Documents with equal word sequences are one class from the start, represented by
-the smallest id.  In a bucket of equal draws, all members are first verified
-against its smallest id; then only members that are not in that one's component
-are verified against the bucket's members in other components.  So every
-candidate pair is either verified or inside one component already, without all
-pairs of a group of copies.
+the smallest id.  In every bucket of equal draws, in ``PICKS`` rounds, all
+members are verified against one of them, picked by a hash that differs between buckets
+and rounds, in the second round the one with the fewest words; members that the
+links so far connect to it are left out.
+The members still outside the bucket's largest component, its strays, are then
+verified against all members in other components, so that every candidate pair
+is verified or inside one component already, without all pairs of a group.
+
+That last step is left out in crowded buckets (over ``CROWDED`` members, over
+``STRAYS`` of them stray: a passage that many unlike documents share), where it
+would grow with the square of the crowd.  Its place take the other draws: two
+documents that are alike beyond the crowd's common text share draws outside it,
+whose buckets are not crowded and are verified in full; two that are alike by
+the common text alone are most like the member with the least besides it, which
+is the one with the fewest words.
+README.md has the measured difference to verifying more of the crowds' pairs.
 
 Fewer than five words make one shingle of all of them.  Documents without words,
 null texts included, are classes of their own; rows that share an id share its
@@ -40,6 +51,8 @@ from ..plans.scratch import written
 from . import cells
 from .rolling import LOWER, SIGN, U, mixed, text_runs, words
 
+#: Members and strays beyond which a bucket is crowded, and rounds of picked members.
+CROWDED, STRAYS, PICKS = 48, 16, 2
 SKETCH = "doc_id long, n int, sig long, sig2 long, draws array<long>"
 SEQUENCE = "doc_id long, sequence binary"
 
@@ -136,9 +149,9 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
 
     sketches = written(named.mapInArrow(sketch, SKETCH), "draws")
     same = sketches.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"))
-    members = same.select(F.col("rep").alias("id"), "n", F.explode("draws").alias("draw"))
-    heads = members.groupBy("draw").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
-    buckets = written(members.join(heads, "draw").distinct(), "buckets")
+    members = same.select(F.col("rep").alias("id"), "n", F.explode("draws").alias("draw")).distinct()
+    sizes = members.groupBy("draw").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    buckets = written(members.join(sizes, "draw"), "buckets")
 
     bits = cells.bits_for(8 * docs.count())
 
@@ -152,14 +165,14 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
         for batch in batches:
             ids = batch.column(0).to_numpy().view(U)
             chosen = pa.RecordBatch.from_arrays([c.filter(pa.array(wanted.passes(mixed(ids)))) for c in batch.columns], ["doc_id", "text"])
-            found = [own.tobytes() for own, _ in sequences_of(chosen.column(1), size)]
+            found = [own.astype("<u4").tobytes() for own, _ in sequences_of(chosen.column(1), size)]
             yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(found, pa.binary())], ["doc_id", "sequence"])
 
     sequences = written(named.mapInArrow(sequence, SEQUENCE), "sequences")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [aligned(*(np.frombuffer(v.as_py(), "<u8") for v in pair), least) >= least for pair in zip(batch.column(2), batch.column(3))]
+            ok = [aligned(*(np.frombuffer(v.as_py(), "<u4") for v in pair), least) >= least for pair in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["src", "dst"])
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -167,20 +180,39 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
         two = sequences.select(F.col("doc_id").alias("dst"), F.col("sequence").alias("second"))
         return pairs.join(one, "src").join(two, "dst").select("src", "dst", "first", "second").mapInArrow(verify, "src long, dst long")
 
-    stars = buckets.where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct()
-    links = written(linked(stars), "links")
-    found = connected(links)
-    of = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_class"))
-    placed = buckets.join(of("id"), "id", "left").join(of("head"), "head", "left")
-    placed = placed.select("draw", "id", "n", "head", F.coalesce("id_class", "id").alias("own"), F.coalesce("head_class", "head").alias("main"))
-    strays = placed.where("own <> main").select("draw", F.col("id").alias("stray"), F.col("n").alias("stray_n"), F.col("own").alias("stray_own"))
-    rest = strays.join(placed, "draw").where((F.col("own") != F.col("stray_own")) & (F.col("id") != F.col("head")) & (F.greatest("n", "stray_n") * least <= F.least("n", "stray_n")))
-    rest = rest.select(F.least("id", "stray").alias("src"), F.greatest("id", "stray").alias("dst")).distinct()
-    more = written(linked(rest), "links")
-    if not more.isEmpty():
-        found = connected(links.unionByName(more))
+    maps: list[DataFrame] = []  # from ids to components, then from components to larger ones
+
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        """The column's ids replaced by their components so far."""
+        for known in maps:
+            to = known.select(F.col("id").alias(name), F.col("component").alias("to__"))
+            rows = rows.join(to, name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
+        return rows
+
+    def joined(pairs: DataFrame) -> None:
+        """Verify pairs, and join the components that their links connect."""
+        edges = of(of(linked(pairs), "src"), "dst").where("src <> dst").distinct()
+        edges = written(edges, "links")
+        if not edges.isEmpty():
+            maps.append(connected(edges))
+
+    placed = buckets.withColumn("own", F.col("id"))
+    for turn in range(PICKS):
+        chance = F.xxhash64("id", "draw", F.lit(turn))
+        heads = placed.groupBy("draw").agg(F.min_by(F.struct(F.col("id").alias("head"), F.col("own").alias("main")), F.struct("n", chance) if turn == 1 else chance).alias("h")).select("draw", "h.*")
+        stars = placed.join(heads, "draw").where("own <> main").select(F.least("head", "id").alias("src"), F.greatest("head", "id").alias("dst")).distinct()
+        joined(stars)
+        placed = written(of(buckets.withColumn("own", F.col("id")), "own"), "placed")
+    main = placed.groupBy("draw", "own").agg(F.count("*").alias("many")).groupBy("draw").agg(F.max_by("own", F.struct("many", "own")).alias("main"), F.max("many").alias("most"))
+    marked = written(placed.join(main, "draw").withColumn("crowded", (F.col("members") > CROWDED) & (F.col("members") - F.col("most") > STRAYS)), "marked")
+
+    plain = marked.where("not crowded")
+    other = plain.select("draw", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("own").alias("other_own"))
+    able = (F.col("own") != F.col("other_own")) & (F.greatest("n", "other_n") * least <= F.least("n", "other_n"))
+    rest = plain.where("own <> main").join(other, "draw").where(able).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
+    joined(rest)
     ids = sketches.select("doc_id", "n", "sig", "sig2").join(same.drop("draws"), ["n", "sig", "sig2"], "left")
     ids = ids.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    placed_ids = ids.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    placed_ids = of(ids.withColumnRenamed("rep", "class_id"), "class_id").select("doc_id", "class_id")
     unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return placed_ids.unionByName(unnamed)
