@@ -23,14 +23,14 @@ The members still outside the bucket's largest component, its strays, are then
 verified against all members in other components, so that every candidate pair
 is verified or inside one component already, without all pairs of a group.
 
-That last step is left out in crowded buckets (over ``CROWDED`` members, over
-``STRAYS`` of them stray: a passage that many unlike documents share), where it
-would grow with the square of the crowd.  Its place take the other draws: two
-documents that are alike beyond the crowd's common text share draws outside it,
-whose buckets are not crowded and are verified in full; two that are alike by
-the common text alone are most like the member with the least besides it, which
-is the one with the fewest words.
-README.md has the measured difference to verifying more of the crowds' pairs.
+In crowded buckets (over ``CROWDED`` members, over ``STRAYS`` of them stray: a
+passage that many unlike documents share, or copies that only one original holds
+together) the same pairs are not written out.  Such a bucket is dealt out in
+blocks of two parts of at most about ``PART`` members each; a bucket that is more
+than one part is cut by length first, as documents whose lengths differ too much
+can't be linked.  Within a block, pairs of one component are left out, then those
+whose words, counted without their order, are too few in common for a link (an
+upper bound of the alignment, so no link is lost), and the others are aligned.
 
 Fewer than five words make one shingle of all of them.  Documents without words,
 null texts included, are classes of their own; rows that share an id share its
@@ -39,6 +39,7 @@ class; rows with a null id have a null class.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,8 @@ from .rolling import LOWER, SIGN, U, mixed, text_runs, words
 
 #: Members and strays beyond which a bucket is crowded, and rounds of picked members.
 CROWDED, STRAYS, PICKS = 48, 16, 2
+#: Members and words in a part of a crowded bucket.
+PART, PART_WORDS = 1024, 1 << 22
 SKETCH = "doc_id long, n int, sig long, sig2 long, draws array<long>"
 SEQUENCE = "doc_id long, sequence binary"
 
@@ -125,6 +128,39 @@ def aligned(x: np.ndarray, y: np.ndarray, least: float) -> float:
     return matches / (total - matches) if matches >= need else 0.0
 
 
+def bags(sequences: list[np.ndarray]) -> np.ndarray:
+    """Occurrences of words, a row for each sequence; words may share a column, which only raises what two rows have in common."""
+    bits = min(12, max(9, max(map(len, sequences)).bit_length()))
+    counts = np.stack([np.bincount((mixed(own.astype(U)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits) for own in sequences])
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def block_links(first: np.ndarray, own: np.ndarray, sequences: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect the components ``own`` of a block's members, as pairs of these.
+
+    All pairs are looked at, or with members that are not ``first`` those of a
+    first with another one; a pair that the links so far connect is left out.
+    """
+    names, place = np.unique(own, return_inverse=True)
+    if len(names) < 2:
+        return []
+    root = np.arange(len(names))
+    n, table, found = np.array([len(x) for x in sequences]), bags(sequences), []
+    others = np.flatnonzero(~first)
+    for i in np.flatnonzero(first):
+        to = others if len(others) else np.arange(i + 1, len(n))
+        need = (n[i] + n[to]) * least / (1 + least) - 1e-9
+        to = to[(root[place[to]] != root[place[i]]) & (np.minimum(n[i], n[to]) >= need)]
+        need = (n[i] + n[to]) * least / (1 + least) - 1e-9
+        to = to[np.minimum(table[i], table[to]).sum(axis=1, dtype=np.int64) >= need]
+        for j in to.tolist():
+            a, b = root[place[i]], root[place[j]]
+            if a != b and aligned(sequences[i], sequences[j], least) >= least:
+                root[root == b] = a
+                found.append((int(own[i]), int(own[j])))
+    return found
+
+
 def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40, kept: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The smallest id of each document's class: doc_id, class_id, a row for each row of ``docs``."""
     rng = np.random.default_rng(seed)
@@ -189,19 +225,44 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
             rows = rows.join(to, name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
         return rows
 
-    def joined(pairs: DataFrame) -> None:
-        """Verify pairs, and join the components that their links connect."""
-        edges = of(of(linked(pairs), "src"), "dst").where("src <> dst").distinct()
+    def joined(links: DataFrame) -> None:
+        """Join the components that links connect."""
+        edges = of(of(links, "src"), "dst").where("src <> dst").distinct()
         edges = written(edges, "links")
         if not edges.isEmpty():
             maps.append(connected(edges))
 
+    def block(table: pa.Table) -> pa.Table:
+        first, own = (table.column(name).to_numpy() for name in ("first", "own"))
+        found = block_links(first, own, [np.frombuffer(v.as_py(), "<u4") for v in table.column("sequence")], least)
+        return pa.table({"src": pa.array([x for x, _ in found], pa.int64()), "dst": pa.array([x for _, x in found], pa.int64())})
+
+    def crowd_links(crowds: DataFrame) -> DataFrame:
+        """Links of all pairs within the buckets of ``crowds`` (draw, id, n, own)."""
+        parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_WORDS)).cast("int")
+        whole = crowds.groupBy("draw").agg(parts.alias("whole"))
+        band = F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log("n") / F.lit(-math.log(least) + 1e-9))).cast("int")
+        rows = crowds.join(whole, "draw").withColumn("band", band)
+        sizes = rows.groupBy("draw", "band").agg(parts.alias("parts"))
+        near = lambda step, name: sizes.select("draw", (F.col("band") + step).alias("band"), F.col("parts").alias(name))
+        rows = rows.join(sizes, ["draw", "band"]).join(near(1, "below"), ["draw", "band"], "left").join(near(-1, "above"), ["draw", "band"], "left")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        cell = lambda low, p, q, wide, first: F.struct(low.alias("low"), p.alias("p"), q.alias("q"), F.lit(wide).alias("wide"), first.alias("first"))
+        yes, no = F.lit(True), F.lit(False)
+        same_band = F.transform(upto(F.col("parts")), lambda q: cell(F.col("band"), F.least("part", q), F.greatest("part", q), False, F.col("part") <= q))
+        next_band = F.transform(upto(F.col("above")), lambda q: cell(F.col("band"), F.col("part"), q, True, yes))
+        last_band = F.transform(upto(F.col("below")), lambda q: cell(F.col("band") - 1, q, F.col("part"), True, no))
+        dealt = rows.withColumn("part", part).select("draw", "id", "own", F.explode(F.concat(same_band, next_band, last_band)).alias("cell")).select("draw", "id", "own", "cell.*")
+        dealt = dealt.join(sequences.select(F.col("doc_id").alias("id"), "sequence"), "id")
+        return dealt.groupBy("draw", "low", "p", "q", "wide").applyInArrow(block, "src long, dst long")
+
     placed = buckets.withColumn("own", F.col("id"))
     for turn in range(PICKS):
         chance = F.xxhash64("id", "draw", F.lit(turn))
         heads = placed.groupBy("draw").agg(F.min_by(F.struct(F.col("id").alias("head"), F.col("own").alias("main")), F.struct("n", chance) if turn == 1 else chance).alias("h")).select("draw", "h.*")
         stars = placed.join(heads, "draw").where("own <> main").select(F.least("head", "id").alias("src"), F.greatest("head", "id").alias("dst")).distinct()
-        joined(stars)
+        joined(linked(stars))
         placed = written(of(buckets.withColumn("own", F.col("id")), "own"), "placed")
     main = placed.groupBy("draw", "own").agg(F.count("*").alias("many")).groupBy("draw").agg(F.max_by("own", F.struct("many", "own")).alias("main"), F.max("many").alias("most"))
     marked = written(placed.join(main, "draw").withColumn("crowded", (F.col("members") > CROWDED) & (F.col("members") - F.col("most") > STRAYS)), "marked")
@@ -210,7 +271,9 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
     other = plain.select("draw", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("own").alias("other_own"))
     able = (F.col("own") != F.col("other_own")) & (F.greatest("n", "other_n") * least <= F.least("n", "other_n"))
     rest = plain.where("own <> main").join(other, "draw").where(able).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-    joined(rest)
+    joined(linked(rest))
+    crowds = written(of(marked.where("crowded").select("draw", "id", "n", F.col("own")), "own"), "crowds")
+    joined(crowd_links(crowds))
     ids = sketches.select("doc_id", "n", "sig", "sig2").join(same.drop("draws"), ["n", "sig", "sig2"], "left")
     ids = ids.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     placed_ids = of(ids.withColumnRenamed("rep", "class_id"), "class_id").select("doc_id", "class_id")

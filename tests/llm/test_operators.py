@@ -400,6 +400,42 @@ def test_crowded_buckets_still_join_copies_of_a_common_text(spark, monkeypatch):
     assert found == brute_classes(rows)
 
 
+@pytest.mark.parametrize("part", [1024, 16])
+def test_crowded_copies_that_one_original_holds_together(spark, monkeypatch, part):
+    for name, value in (("CROWDED", 2), ("STRAYS", 0), ("PART", part)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(70, " ".join(base))]
+    for i in range(60):
+        gone = set(rng.sample(range(300), 24))
+        rows.append((i, " ".join(f"c{i}x{k}" if k in gone else w for k, w in enumerate(base))))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_classes(sorted(rows)) == dict.fromkeys(found, 0)
+
+
+def test_links_of_a_block_against_all_pairs():
+    rng = random.Random(9)
+    sequences = []
+    for _ in range(12):
+        base = rng.choices(range(500), k=rng.randint(5, 60))
+        sequences += [np.array([rng.randrange(500) if rng.random() < 0.08 else w for w in base], "<u4") for _ in range(5)]
+    linked = lambda i, j: neardup.aligned(sequences[i], sequences[j], 0.8) >= 0.8
+    for split in (60, 23):
+        first = np.arange(60) < split
+        pairs = [(i, j) for i in range(60) for j in range(i) if (split == 60 or first[i] != first[j]) and linked(i, j)]
+        own = np.arange(60)
+        got = neardup.block_links(first, own, sequences, 0.8)
+
+        def parts(edges):
+            root = list(range(60))
+            for a, b in edges:
+                root = [root[a] if x == root[b] else x for x in root]
+            return {frozenset(k for k in range(60) if root[k] == x) for x in root}
+
+        assert parts(got) == parts(pairs) and len(got) == 60 - len(parts(pairs))
+
+
 def test_classes_of_odd_tables(spark):
     none, clash = odd(spark)
     assert neardup.classes(none).count() == 0
