@@ -584,5 +584,13 @@ def test_mined_rules_against_all_combinations(spark):
     assert [(r["page_id"], r["label"]) for r in judged.orderBy("page_id").collect()] == [(1, "block"), (2, "allow"), (3, "allow")]
 
 
+def test_a_surer_rule_of_the_default_label_wins(spark):
+    known = [("http://a.x/p", "block")] * 8 + [("http://a.x/p", "allow")] * 2 + [("http://b.y/q", "allow")] * 10
+    labelled = spark.createDataFrame(known, "url string, label string")
+    pages = spark.createDataFrame([(1, "http://a.x/q"), (2, "http://a.x/p"), (3, "http://c.z/r")], "page_id long, url string")
+    found = by_id(urls.judged(pages, (urls.Rule("none.example", "/", "block"),), 0.1, 0.8, labelled=labelled).withColumnRenamed("page_id", "doc_id"))
+    assert [(found[i]["verdict"], found[i]["confidence"]) for i in (1, 2, 3)] == [("allow", 1.0), ("block", 0.8), ("allow", 0.0)]
+
+
 def test_urls_of_an_empty_table(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
