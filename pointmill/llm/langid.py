@@ -162,13 +162,14 @@ def identified(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col
 
 
 def kept(docs: DataFrame, model: Backoff, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language."""
+    """The rows of ``docs``, with all their columns, whose text has a language; with a model of no languages those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Backoff.of(*shared.value)
+        told = (lambda text: own.predict(text)[0] != UNDETERMINED) if own.langs else (lambda text: any(map(_lettered, _WORD.findall((text or "").lower()))))
         for batch in batches:
-            yield batch.filter(pa.array([own.predict(text.as_py())[0] != UNDETERMINED for text in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([told(text.as_py()) for text in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,6 +38,14 @@ def test_pipeline_of_odd_documents(spark):
         assert {r["doc_id"] for r in out.collect()} == ({1, None} if data is docs else set())
 
 
+def test_texts_stay_where_no_language_can_be_learned(spark):
+    rows = [(1, "one two three"), (2, None), (3, "12 34"), (4, "four five")]
+    for lang in (None, "en"):
+        docs = spark.createDataFrame([(i, t, lang) for i, t in rows], "doc_id long, text string, lang string")
+        out = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF)
+        assert {r["doc_id"] for r in out.collect()} == {1, 4}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_names_are_distinct(name):
     assert [n for n, _ in corpus_pipeline.STAGES].count(name) == 1
