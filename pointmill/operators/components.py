@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import written
+from ..plans.scratch import dropped, written
 
 
 def _along(rows: DataFrame, name: str, to: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
     one moves, by doubling steps until none can move, and the edges are drawn
     anew between the places where nodes ended; edges within one place go, so that
     the table shrinks fast, and a chain is one place after the first round.
-    Edges and moves are written to the shared folder, which cuts the lineage.
+    Edges and moves are written to the shared folder, which cuts the lineage, and
+    deleted once they are used up.
     Null ends are ignored, an empty table gives no rows.
     """
     own = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
@@ -34,12 +35,17 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
             onward = far.select(F.col("id").alias("label"), F.col("label").alias("onward"))
             further = written(far.join(onward, "label").select("id", F.col("onward").alias("label"), (F.col("onward") < F.col("label")).alias("moved")), "moves")
             if further.where("moved").isEmpty():
+                dropped(further)
                 break
-            far = further.select("id", "label")
+            dropped(far)
+            far = further
         moves.append(far)
         moved = _along(_along(own, "u", far), "v", far).where(F.col("u") != F.col("v"))
-        own = written(moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        before, own = own, written(moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        dropped(before)
     found = moves[0]
     for far in moves[1:]:
         found = _along(found, "label", far)
-    return written(found.select("id", F.col("label").alias("component")), "components")
+    out = written(found.select("id", F.col("label").alias("component")), "components")
+    dropped(own, *moves)
+    return out

@@ -2,8 +2,9 @@
 
 The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
 session without it (tests, notebooks in local mode) gets a temporary folder,
-which goes when the process ends.  Tables in a named folder stay, as results
-are read from them lazily; ``removed`` deletes them.
+which goes when the process ends.  Tables in a named folder stay as long as
+results may be read from them, which is lazily; ``dropped`` deletes those that
+later tables replace.
 """
 
 from __future__ import annotations
@@ -47,7 +48,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` made and nothing reads any more; others are left alone."""
+    for table in tables:
+        path = None if table is None else table.__dict__.pop("_scratch_path", None)
+        if path:
+            removed(table.sparkSession, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
