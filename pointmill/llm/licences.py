@@ -5,10 +5,14 @@ non-ASCII characters); phrases and notices are looked for in the words joined
 by single spaces.  A notice with at most k edits is cut into k+1 pieces, one of
 which must occur unchanged (pigeonhole), so exact finds of the pieces locate all
 candidates; the regex library's bounded-error matching then verifies the
-neighbourhood of each and reports the span and its edits.
-
-Null and empty texts have no words and no labels.  Repeated rows are scanned
-each for itself; other columns are ignored, whatever their names.
+neighbourhood of each and reports the span and its edits.  In each neighbourhood
+the best match comes first, and the text before and after it is searched again,
+so spans of one notice don't overlap, and every run of words within the edits
+overlaps a reported one that needs no more.
+
+Null and empty texts have no words, no labels and score 0.  Texts of any length
+are scanned whole.  Repeated rows are scanned each for itself; other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,12 +42,23 @@ NOTICES = (
     Notice("gnu general public license", "gpl", 3),
     Notice("gnu lesser general public license", "lgpl", 3),
     Notice("gnu affero general public license", "agpl", 3),
+    Notice("gnu free documentation license", "gfdl", 3),
     Notice("licensed under the apache license", "apache", 3),
     Notice("released under the mit license", "mit", 3),
     Notice("permission is hereby granted free of charge to any person", "mit", 5),
+    Notice("the software is provided as is without warranty of any kind", "mit", 5),
     Notice("licensed under a creative commons attribution", "cc-by", 4),
+    Notice("creative commons zero", "cc0", 2),
     Notice("redistribution and use in source and binary forms", "bsd", 4),
     Notice("mozilla public license", "mpl", 2),
+    Notice("eclipse public license", "epl", 2),
+    Notice("european union public licence", "eupl", 3),
+    Notice("boost software license", "bsl", 2),
+    Notice("business source license", "busl", 2),
+    Notice("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
+    Notice("this software is provided as is without any express or implied warranty", "zlib", 6),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    Notice("sil open font license", "ofl", 2),
 )
 OUT = "doc_id long, n_words long, base array<struct<word: long, label: string>>, found array<struct<label: string, first_word: long, n_words: long, begin: long, end: long, edits: long>>, score double"
 #: A-Z lower-cased; every other ASCII character that is no letter or digit becomes a space.
@@ -99,12 +114,23 @@ class Scanner:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            for a, b in merged:
-                for m in verify.finditer(line, a, b, concurrent=False):
-                    begin, end = m.start(), m.end()
-                    if begin < end:
-                        out.append({"label": notice.label, "first_word": line.count(" ", 0, begin) - 1, "n_words": line.count(" ", begin, end) + 1, "begin": begin - 1, "end": end - 1, "edits": sum(m.fuzzy_counts), "of": len(notice.words)})
-        return out
+            for a, b in merged:  # whole words only, as the end of a searched part counts as the end of a word
+                end = line.find(" ", b)
+                for m in _verified(verify, line, line.rfind(" ", 0, a + 1) + 1, len(line) if end < 0 else end):
+                    begin, end = m.span()
+                    out.append({"label": notice.label, "first_word": line.count(" ", 0, begin) - 1, "n_words": line.count(" ", begin, end) + 1, "begin": begin - 1, "end": end - 1, "edits": sum(m.fuzzy_counts), "of": len(notice.words)})
+        return sorted(out, key=lambda x: (x["begin"], x["end"], x["label"]))
+
+
+def _verified(pattern: regex.Pattern, line: str, a: int, b: int) -> Iterator[regex.Match]:
+    """The best match between two places, then those on either side of it."""
+    parts = [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        m = pattern.search(line, a, b, concurrent=False) if a < b else None
+        if m and m.end() > m.start():
+            yield m
+            parts += [(a, m.start() - 1), (m.end() + 1, b)]
 
 
 def scanned(docs: DataFrame, phrases: dict[str, str] | None = None, notices: tuple[Notice, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
