@@ -2,35 +2,58 @@
 
 In a model none of whose pieces holds a white-space marker after another
 character, no piece reaches from one marked word (a run of markers with what
-follows) into the next.  So each distinct marked word is segmented, and decoded,
-once while it stays in a worker's table, and the ids are joined back by
-position.  A model without that property is refused.
-
-The table is per Python worker and bounded: a table of the whole corpus would
-have to shuffle every word with its position, more than the texts themselves.
-Null texts count as empty: no ids, empty decoded text.  Other columns are
-ignored, whatever their names; repeated rows are kept.
+follows) into the next.  So each distinct marked word of the corpus is segmented,
+and decoded, once, and the ids are joined back by position.  A model without that
+property is refused.
+
+1. Every text becomes numbers: the places of its marked words in the word list
+   of its run, a stretch of about ``RUN_CHARS`` characters of neighbouring texts.
+2. The runs' lists are reduced to the distinct words, each is segmented once, and
+   what was found goes back to the runs that hold the word.
+3. A run's texts and its words meet in one task, and numbers turn into ids.
+
+So what is shuffled per text is one number for each word, two bytes as a rule, and
+per run its distinct words; a frequent word is one row for each run.
+
+Null texts count as empty: no ids, empty decoded text.  Texts and words of any
+length are taken whole.  Other columns are ignored, whatever their names; repeated
+rows are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import KEPT_CHARS, Generations, slices
+from ..plans.scratch import written
+from .packing import slices
 
 MARK = "▁"
+RUN_CHARS = 1 << 23
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
+CODED = "run long, doc_id long, codes binary, wide boolean, words array<string>"
+FOUND = "word string, ids string, decoded string"
 OUT = "doc_id long, n_tokens long, ids string, decoded string"
 
 
-class ChunkTable:
-    """Ids, as decimal text, and decoded text of distinct marked words."""
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Segmenter:
+    """Ids, as decimal text, and decoded text of marked words."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -39,65 +62,99 @@ class ChunkTable:
         crossing = [p for p in map(self.model.id_to_piece, range(self.model.get_piece_size())) if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces such as {crossing[0]!r} cross a white-space marker")
-        self.table = Generations(self._found)
 
-    def _found(self, words: list[str]) -> list[tuple[str, str]]:
+    def found(self, words: list[str]) -> list[tuple[str, str]]:
+        """Both of each word."""
         ids = self.model.encode(words, num_threads=1)
         for i, word in enumerate(words):
             if not word:  # a marker alone, at the end of a text; the library encodes an empty text to nothing
                 ids[i] = [self.model.piece_to_id(MARK)]
         return [(",".join(map(str, own)), back) for own, back in zip(ids, self.model.decode(ids, num_threads=1) if ids else [])]
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Marked words, each without its first marker, which the library adds itself."""
-        if not text:
-            return []
-        words = text.split(" ")
-        if MARK not in text and "" not in words:
-            return words
-        return [c[1:] for c in _CHUNK.findall(f" {text}")]
-
-    def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, ids joined by commas, and decoded text of each text."""
-        chunks = [self.chunks(t) for t in texts]
-        distinct = set().union(*chunks)
-        long = [w for w in distinct if len(w) > KEPT_CHARS]
-        table = self.table.ready(distinct.difference(long))
-        if long:
-            table = table | dict(zip(long, self._found(long)))
-        out = []
-        for words in chunks:
-            both = [table[w] for w in words]
-            line = ",".join([x[0] for x in both])
-            out.append((line.count(",") + 1 if line else 0, line, " ".join([x[1] for x in both])))
-        return out
-
-
-_WORKER: dict[str, ChunkTable] = {}
-
-
-def _table(path: str) -> ChunkTable:
+
+def chunks(text: str) -> list[str]:
+    """Marked words, each without its first marker, which the library adds itself."""
+    if not text:
+        return []
+    words = text.split(" ")
+    if MARK not in text and "" not in words:
+        return words
+    return [c[1:] for c in _CHUNK.findall(f" {text}")]
+
+
+_WORKER: dict[str, Segmenter] = {}
+
+
+def _segmenter(path: str) -> Segmenter:
     if path not in _WORKER:
-        _WORKER[path] = ChunkTable(path)
+        _WORKER[path] = Segmenter(path)
     return _WORKER[path]
 
 
+class Run:
+    """A stretch of texts as numbers, with its words."""
+
+    def __init__(self, run: int) -> None:
+        self.run, self.words, self.ids, self.codes, self.chars = run, Numbered(), [], [], 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        """Take in a text."""
+        self.ids.append(doc_id)
+        self.codes.append(array("I", map(self.words.__getitem__, chunks(text))))
+        self.chars += len(text)
+
+    def rows(self) -> pa.RecordBatch:
+        """A row for each text, and one for the words."""
+        wide, n = len(self.words) > 1 << 16, len(self.ids)
+        codes = [np.array(c, "<u4" if wide else "<u2").tobytes() for c in self.codes]
+        columns = [pa.array([self.run] * (n + 1), pa.int64()), pa.array([*self.ids, None], pa.int64()), pa.array([*codes, None], pa.binary()), pa.array([wide] * (n + 1)), pa.array([*[None] * n, list(self.words)], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["run", "doc_id", "codes", "wide", "words"])
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    base, made = TaskContext.get().partitionId() << 32, 0
+    own = Run(base)
+    for batch in batches:
+        for begun, texts in slices(batch.column(1)):
+            for doc_id, text in zip(batch.column(0).slice(begun, len(texts)).to_pylist(), texts):
+                own.add(doc_id, text)
+            if own.chars >= RUN_CHARS:
+                yield own.rows()
+                made += 1
+                own = Run(base + made)
+    if own.ids:
+        yield own.rows()
+
+
 def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every text, joined by commas, and the text they decode to.
 
-    With ``digests`` the two texts are replaced by their SHA-256 within the
-    worker, so that neither is sent back to the JVM.
+    With ``digests`` the two texts are replaced by their SHA-256 where they are
+    made, so that neither is sent back to the JVM.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
+    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _segmenter(model_path)
         for batch in batches:
-            for begun, texts in slices(batch.column(1)):
-                n, ids, back = (list(c) for c in zip(*table.run(texts)))
-                if digests:
-                    ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
-                    back = [hashlib.sha256(x.encode()).hexdigest() for x in back]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begun, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+            found = model.found(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["word", "ids", "decoded"])
+
+    def joined(texts: pa.Table, words: pa.Table) -> pa.Table:
+        order = pa.array(np.argsort(words.column("at").to_numpy()))
+        ids, decoded = (words.column(c).take(order).to_pylist() for c in ("ids", "decoded"))
+        n, lines, backs = [], [], []
+        for codes, wide in zip(texts.column("codes").to_pylist(), texts.column("wide").to_pylist()):
+            places = np.frombuffer(codes, "<u4" if wide else "<u2").tolist()
+            line, back = ",".join([ids[i] for i in places]), " ".join([decoded[i] for i in places])
+            n.append(line.count(",") + 1 if line else 0)
+            lines.append(hashlib.sha256(line.encode()).hexdigest() if digests else line)
+            backs.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(lines, pa.string()), "decoded": pa.array(backs, pa.string())})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    coded = written(rows.mapInArrow(_coded, CODED), "coded")
+    listed = coded.where(F.col("words").isNotNull()).select("run", F.posexplode("words").alias("at", "word"))
+    table = listed.select("word").distinct().mapInArrow(segmented, FOUND)
+    words = listed.join(table, "word").select(F.col("run").alias("of"), "at", "ids", "decoded")
+    texts = coded.where(F.col("words").isNull()).select("run", "doc_id", "codes", "wide")
+    return texts.groupBy("run").cogroup(words.groupBy("of")).applyInArrow(joined, OUT)
