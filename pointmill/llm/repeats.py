@@ -18,7 +18,9 @@ smaller id, judged on the input.
 Null texts have no words.  Rows with a null id lose nothing and cover nothing.
 Rows that share an id are one document where windows are compared, and are
 judged each for its own text.  Documents shorter than the window lose nothing.
-Other columns are ignored, whatever their names.
+Other columns are ignored, whatever their names; an empty table gives no rows.
+Equality is that of 128 bits of hashes (64 of the anchor, 64 of the block or
+window), not of the words themselves.
 """
 
 from __future__ import annotations
@@ -28,16 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cells
 from .rolling import U, mixed, smallest, text_runs, words
+from ..plans.joins import unique_join
 from ..plans.scratch import written
 
 BLOCKS = "anchor long, block long, doc_id long, sig long, begin int, n int"
 WINDOWS = "anchor long, window long, doc_id long, sig long, begin int"
-OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 class _Blocks:
@@ -100,8 +102,8 @@ def covered(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
                 )
 
     blocks = written(rows.mapInArrow(grouped, BLOCKS), "blocks")
-    kept = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last_id"))
-    copies = blocks.join(kept.where("kept_id < last_id"), ["anchor", "block"]).where("doc_id > kept_id")
+    kept = written(blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("rows")), "kept-blocks")
+    copies = unique_join(blocks, kept.where("kept_id < last_id"), ["anchor", "block"], "rows").where("doc_id > kept_id")
     whole = copies.select("doc_id", "sig", "begin", (F.col("begin") + F.col("n") + (window - 1)).alias("end"))
 
     several = kept.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("kept_id").alias("least"), F.max("kept_id").alias("most")).where("blocks > 1 and least < most")
@@ -132,40 +134,63 @@ def covered(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
                 )
 
     windows = written(rows.mapInArrow(single, WINDOWS), "windows")
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last_id")).where("kept_id < last_id")
-    parts = windows.join(least, ["anchor", "window"]).where("doc_id > kept_id").select("doc_id", "sig", "begin", (F.col("begin") + window).alias("end"))
+    least = written(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("rows")).where("kept_id < last_id"), "kept-windows")
+    parts = unique_join(windows, least, ["anchor", "window"], "rows").where("doc_id > kept_id").select("doc_id", "sig", "begin", (F.col("begin") + window).alias("end"))
     return whole.unionByName(parts)
 
 
-def _removed(digests: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                own = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                keep = np.ones(len(own), bool)
-                for span in spans.as_py() or ():
-                    keep[span["begin"] : span["end"]] = False
-                left = own if keep.all() else [own[i] for i in np.flatnonzero(keep)]
-                line = b" ".join(left)
-                n_words.append(len(own))
-                n_removed.append(len(own) - len(left))
-                kept.append(hashlib.sha256(line).hexdigest() if digests else line.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *(batch.column(i) for i in range(3, batch.num_columns))], ["doc_id", "n_words", "n_removed", "kept", *batch.schema.names[3:]])
-
-    return run
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words, n_removed, kept = [], [], []
+        for text, spans in zip(batch.column(1).field("text"), batch.column(2)):
+            own = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            keep = np.ones(len(own), bool)
+            for span in spans.as_py() or ():
+                keep[span["begin"] : span["end"]] = False
+            left = own if keep.all() else [own[i] for i in np.flatnonzero(keep)]
+            n_words.append(len(own))
+            n_removed.append(len(own) - len(left))
+            kept.append(b" ".join(left))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "row", "n_words", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, window: int = 50, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row its words, how many go, and those kept joined by single spaces (with ``digests`` the SHA-256 of that)."""
-    return with_kept(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), window, digests)
+def with_kept(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, the text and all columns of ``docs`` as a struct ``row``, its words, how many go, and the UTF-8 of those kept.
 
+    ``row`` holds a field text, and the row's own columns in a struct ``all``, so
+    that no name clashes.
+    """
+    spans = covered(docs, window, id_col, text_col).groupBy("doc_id", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    whole = F.struct(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("all") if len(docs.columns) > 1 else F.lit(None).alias("all"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("sig"), whole.alias("row"))
+    joined = rows.join(spans, ["doc_id", "sig"], "left").select("doc_id", "row", "spans")
+    schema = joined.select("doc_id", "row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(b"").alias("kept")).schema
+    return joined.mapInArrow(_removed, schema)
 
-def with_kept(docs: DataFrame, window: int = 50, digests: bool = False) -> DataFrame:
-    """As ``without_repeats`` for a table that starts with doc_id and text; columns after these follow the result's."""
-    spans = covered(docs, window).groupBy("doc_id", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = docs.withColumn("sig", F.xxhash64("text"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    joined = rows.join(spans, ["doc_id", "sig"], "left").select("doc_id", "text", "spans", *others)
-    kinds = dict(docs.dtypes)
-    return joined.mapInArrow(_removed(digests), ", ".join([OUT, *(f"`{c}` {kinds[c]}" for c in others)]))
+
+def without_repeats(docs: DataFrame, window: int = 50, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row its words, how many go, and those kept joined by single spaces (with ``digests`` the SHA-256 of that)."""
+    found = with_kept(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), window)
+    kept = F.sha2("kept", 256) if digests else F.decode("kept", "UTF-8")
+    return found.select("doc_id", "n_words", "n_removed", kept.alias("kept"))
+
+
+def trimmed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` with the words that go taken out of the text.
+
+    A row none of whose words stays goes; an untouched text, null or empty ones
+    included, stays as it is.  A column ``n_chars`` follows a changed text.
+    """
+    found = with_kept(docs, window, id_col, text_col)
+    whole = F.col("n_removed") == 0
+    text = F.when(whole, F.col("row.text")).otherwise(F.decode("kept", "UTF-8"))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return text.alias(name)
+        own = F.col("row.all")[name]
+        if name == "n_chars":
+            own = F.when(whole, own).otherwise(F.char_length(text).cast(docs.schema[name].dataType))
+        return own.alias(name)
+
+    return found.where(whole | (F.col("n_removed") < F.col("n_words"))).select(*map(column, docs.columns))
