@@ -5,14 +5,15 @@ its sequence of shingles of five words, each labelled with its occurrence in the
 document.  For each of ``draws`` random orders the ``kept`` smallest labelled
 shingles are taken and hashed in the order in which they stand in the text; two
 documents with an equal draw are candidates, and the chance of that falls with
-edit similarity, not only with set similarity.
+edit similarity, not only with set similarity.  Documents of at most ``SHORT``
+words, in which a single changed word spoils most shingles of five, are drawn
+from by shingles of two words as well.
 
 A candidate pair is verified by banded alignment of the words: the largest number
 m of words that can be aligned in order, where positions i and j may meet only
 within the band that an alignment of the threshold can need.  The similarity is
-m / (n1 + n2 - m) for n1 and n2 words, and a link is 0.8 or more.  Of pairs at
-the threshold itself with evenly scattered edits, 94 % share a draw; of pairs
-with one word in fifteen changed, 99.9 %; the more the edits cluster, the more.
+m / (n1 + n2 - m) for n1 and n2 words, and a link is 0.8 or more.  The README
+says how many pairs at the threshold share a draw, by kind of edit.
 
 Documents with equal word sequences are one class from the start, represented by
 the smallest id.  In every bucket of equal draws, in ``PICKS`` rounds, all
@@ -34,7 +35,8 @@ upper bound of the alignment, so no link is lost), and the others are aligned.
 
 Fewer than five words make one shingle of all of them.  Documents without words,
 null texts included, are classes of their own; rows that share an id share its
-class; rows with a null id have a null class.  Other columns are ignored.
+class; rows with a null id have a null class.  Other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,28 +50,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from ..plans.scratch import written
+from ..plans.joins import unique_join
+from ..plans.scratch import dropped, written
 from . import cells
 from .rolling import LOWER, SIGN, U, mixed, text_runs, words
 
 #: Members and strays beyond which a bucket is crowded, and rounds of picked members.
 CROWDED, STRAYS, PICKS = 48, 16, 2
+#: Words that a short text has at most, and the size and number of its further draws.
+SHORT, SHORT_SIZE, SHORT_DRAWS = 24, 2, 12
 #: Members and words in a part of a crowded bucket.
 PART, PART_WORDS = 1024, 1 << 22
 SKETCH = "doc_id long, n int, sig long, sig2 long, draws array<long>"
 SEQUENCE = "doc_id long, sequence binary"
 
 
-def sequences_of(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per text the hashes of its words and its occurrence-labelled shingles, both in order."""
+def sequences_of(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Per text the hashes of its words and its occurrence-labelled shingles, in order, and a short text's of ``SHORT_SIZE`` words."""
     for _, data, offsets in text_runs(column):
         own = words(LOWER[data], offsets, SIGN)
-        runs = own.runs(size)
+        runs, short_runs = own.runs(size), own.runs(SHORT_SIZE)
         for a, b in zip(own.bounds[:-1], own.bounds[1:]):
+            short = labelled(short_runs[a : b - SHORT_SIZE + 1]) if SHORT_SIZE <= b - a <= SHORT else None
             if b - a < size:
-                yield own.hashes[a:b], own.between(np.array([a]), np.array([b])) if b > a else runs[:0]
+                yield own.hashes[a:b], own.between(np.array([a]), np.array([b])) if b > a else runs[:0], short
             else:
-                yield own.hashes[a:b], labelled(runs[a : b - size + 1])
+                yield own.hashes[a:b], labelled(runs[a : b - size + 1]), short
 
 
 def labelled(plain: np.ndarray) -> np.ndarray:
@@ -136,7 +142,7 @@ def bags(sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(first: np.ndarray, own: np.ndarray, sequences: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that connect the components ``own`` of a block's members, as pairs of these.
+    """Links that connect the components ``own`` of a block's members, as pairs of places.
 
     All pairs are looked at, or with members that are not ``first`` those of a
     first with another one; a pair that the links so far connect is left out.
@@ -157,22 +163,31 @@ def block_links(first: np.ndarray, own: np.ndarray, sequences: list[np.ndarray],
             a, b = root[place[i]], root[place[j]]
             if a != b and aligned(sequences[i], sequences[j], least) >= least:
                 root[root == b] = a
-                found.append((int(own[i]), int(own[j])))
+                found.append((int(i), j))
     return found
 
 
-def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40, kept: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The smallest id of each document's class: doc_id, class_id, a row for each row of ``docs``."""
+def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40, kept: int = 2, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The smallest id of each document's class: doc_id, class_id, n_links, a row for each row of ``docs``.
+
+    ``n_links`` counts the verified links of the document's text to other texts:
+    enough to connect the class, not all there are.
+    """
+    return near_duplicates(docs, least, size, draws, kept, seed, id_col, text_col)[0]
+
+
+def near_duplicates(docs: DataFrame, least: float, size: int, draws: int, kept: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classes``, and the verified links between the smallest ids of equal texts: src, dst."""
     rng = np.random.default_rng(seed)
     odd = lambda *shape: rng.integers(0, 1 << 63, size=shape, dtype=U) * U(2) + U(1)
-    keys, weights = odd(draws, 1), odd(1, kept)
+    keys, weights, short_keys = odd(draws, 1), odd(1, kept), odd(SHORT_DRAWS, 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sig, sig2, drawn = [], [], [], []
-            for own, labels in sequences_of(batch.column(1), size):
+            for own, labels, short in sequences_of(batch.column(1), size):
                 n.append(len(own))
                 if not len(own):
                     sig.append(None), sig2.append(None), drawn.append(None)
@@ -180,11 +195,13 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
                 place = np.arange(len(own), dtype=U)
                 sig.append(int((mixed(own + place)).sum().view(np.int64)))
                 sig2.append(int((mixed(own ^ mixed(place + U(1)))).sum().view(np.int64)))
-                drawn.append(_draws(labels, keys, weights).view(np.int64))
+                found = _draws(labels, keys, weights)
+                drawn.append((found if short is None else np.concatenate((found, _draws(short, short_keys, weights)))).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "sig2", "draws"])
 
     sketches = written(named.mapInArrow(sketch, SKETCH), "draws")
-    same = sketches.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"))
+    same = sketches.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"), F.count("*").alias("copies"))
+    same = written(same, "texts")
     members = same.select(F.col("rep").alias("id"), "n", F.explode("draws").alias("draw")).distinct()
     sizes = members.groupBy("draw").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     buckets = written(members.join(sizes, "draw"), "buckets")
@@ -201,7 +218,7 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
         for batch in batches:
             ids = batch.column(0).to_numpy().view(U)
             chosen = pa.RecordBatch.from_arrays([c.filter(pa.array(wanted.passes(mixed(ids)))) for c in batch.columns], ["doc_id", "text"])
-            found = [own.astype("<u4").tobytes() for own, _ in sequences_of(chosen.column(1), size)]
+            found = [own.astype("<u4").tobytes() for own, *_ in sequences_of(chosen.column(1), size)]
             yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(found, pa.binary())], ["doc_id", "sequence"])
 
     sequences = written(named.mapInArrow(sequence, SEQUENCE), "sequences")
@@ -225,17 +242,22 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
             rows = rows.join(to, name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
         return rows
 
+    proofs: list[DataFrame] = []
+
     def joined(links: DataFrame) -> None:
         """Join the components that links connect."""
-        edges = of(of(links, "src"), "dst").where("src <> dst").distinct()
+        proofs.append(written(links.distinct(), "proofs"))
+        edges = of(of(proofs[-1], "src"), "dst").where("src <> dst").distinct()
         edges = written(edges, "links")
         if not edges.isEmpty():
             maps.append(connected(edges))
+        dropped(edges)
 
     def block(table: pa.Table) -> pa.Table:
-        first, own = (table.column(name).to_numpy() for name in ("first", "own"))
-        found = block_links(first, own, [np.frombuffer(v.as_py(), "<u4") for v in table.column("sequence")], least)
-        return pa.table({"src": pa.array([x for x, _ in found], pa.int64()), "dst": pa.array([x for _, x in found], pa.int64())})
+        first, own, ids = (table.column(name).to_numpy() for name in ("first", "own", "id"))
+        found = np.array(block_links(first, own, [np.frombuffer(v.as_py(), "<u4") for v in table.column("sequence")], least), np.int64).reshape(-1, 2)
+        ends = ids[found]
+        return pa.table({"src": pa.array(ends.min(axis=1, initial=np.iinfo(np.int64).max), pa.int64()), "dst": pa.array(ends.max(axis=1, initial=np.iinfo(np.int64).min), pa.int64())})
 
     def crowd_links(crowds: DataFrame) -> DataFrame:
         """Links of all pairs within the buckets of ``crowds`` (draw, id, n, own)."""
@@ -263,7 +285,8 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
         heads = placed.groupBy("draw").agg(F.min_by(F.struct(F.col("id").alias("head"), F.col("own").alias("main")), F.struct("n", chance) if turn == 1 else chance).alias("h")).select("draw", "h.*")
         stars = placed.join(heads, "draw").where("own <> main").select(F.least("head", "id").alias("src"), F.greatest("head", "id").alias("dst")).distinct()
         joined(linked(stars))
-        placed = written(of(buckets.withColumn("own", F.col("id")), "own"), "placed")
+        before, placed = placed, written(of(buckets.withColumn("own", F.col("id")), "own"), "placed")
+        dropped(before)
     main = placed.groupBy("draw", "own").agg(F.count("*").alias("many")).groupBy("draw").agg(F.max_by("own", F.struct("many", "own")).alias("main"), F.max("many").alias("most"))
     marked = written(placed.join(main, "draw").withColumn("crowded", (F.col("members") > CROWDED) & (F.col("members") - F.col("most") > STRAYS)), "marked")
 
@@ -274,8 +297,16 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, draws: int = 40,
     joined(linked(rest))
     crowds = written(of(marked.where("crowded").select("draw", "id", "n", F.col("own")), "own"), "crowds")
     joined(crowd_links(crowds))
-    ids = sketches.select("doc_id", "n", "sig", "sig2").join(same.drop("draws"), ["n", "sig", "sig2"], "left")
-    ids = ids.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    placed_ids = of(ids.withColumnRenamed("rep", "class_id"), "class_id").select("doc_id", "class_id")
-    unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return placed_ids.unionByName(unnamed)
+    links = proofs[0]
+    for more in proofs[1:]:
+        links = links.unionByName(more)
+    links = written(links.distinct(), "all-links")
+    degrees = links.select(F.explode(F.array("src", "dst")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    texts = of(same.select("n", "sig", "sig2", "copies", "rep", F.col("rep").alias("class_id")), "class_id").join(degrees, "rep", "left")
+    texts = written(texts.select("n", "sig", "sig2", "copies", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "text-classes")
+    found = unique_join(sketches.select("doc_id", "n", "sig", "sig2"), texts, ["n", "sig", "sig2"], "copies").select("doc_id", "class_id", "n_links")
+    alone = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    out = written(found.unionByName(alone).unionByName(unnamed), "classes")
+    dropped(sketches, same, buckets, sequences, placed, marked, crowds, texts, *proofs, *maps)
+    return out, links
