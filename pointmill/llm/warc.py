@@ -10,7 +10,9 @@ file systems, so executors on any machine reach them.  Of records with equal
 payloads of at least ``min_bytes`` bytes the one with the smallest id is the
 response, the others are revisits that carry no payload, only the digest, the
 size and the id they refer to.  Null payloads count as empty, rows with a null
-id are responses, and so are all rows of a smallest id that repeats; an empty table gives no archive.  Other columns are ignored.
+id are responses, and so are all rows of a smallest id that repeats; payloads of
+any length are written whole; an empty table gives no archive.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import unique_join
 from ..plans.scratch import fresh_path, written
 
 CHUNK = 1 << 18
@@ -152,12 +155,13 @@ def duplicates(pages: DataFrame, min_bytes: int, id_col: str, payload_col: str)
     """The id that each revisit refers to: columns page_id, refers_to.
 
     Payloads are reduced to digests before the shuffle, and the digests to their
-    smallest id within each task.
+    smallest id within each task.  A digest that many pages share is no key of
+    the join, but broadcast to them.
     """
     light = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary")).alias("sha"), F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))).alias("size"))
-    light = light.where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes))
-    first = light.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    return light.join(first, "sha").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to", "sha")
+    light = written(light.where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)).select("page_id", "sha"), "digests")
+    first = written(light.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where(F.col("n") > 1), "firsts")
+    return unique_join(light, first, ["sha"], "n").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to", "sha")
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
