@@ -36,7 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scanned(table(spark, sf_dir, "documents"))
+    return _licences(licences.scanned(table(spark, sf_dir, "documents")))
+
+
+def _licences(found: DataFrame) -> DataFrame:
     base = F.array_distinct(F.transform("base", lambda x: x.label))
     both = F.array_union(base, F.transform("found", lambda x: x.label))
     places = F.transform("base", lambda x: x.word)
@@ -75,6 +78,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+# Parts of the operators that SQL can express
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licences(licences.scanned(table(spark, sf_dir, "documents"), notices=())).drop("labels", "score", "notices")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.placed(table(spark, sf_dir, "pages"), urls.RULES, "page_id", "url").select("page_id", "host", "path", "rule", F.col("fixed").alias("verdict"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.with_edited(table(spark, sf_dir, "documents"))[0].where("late = 0").select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,5 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_warc,
         op10_url_filter,
+        license_phrases,
+        url_rules,
+        edited_texts,
     )
 }

@@ -1,21 +1,28 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (lines, long ones at some sentence ends), each reduced
-to a 64-bit digest; the set of different digests goes into a sketch of 24 cells,
-three per digest, that hold a count and the exclusive ors of digests and of their
-checks.  Two versions' sketches are subtracted cell by cell, which leaves only
-the differing digests, and peeling recovers them: a cell that holds one digest
-gives it away, its removal from its other cells opens more.  If that fails, both
-versions are sketched anew in a larger size: as many tables of 24 cells as the
-two have digests divided by seven, then eight times as many, and so on.  A larger
-sketch is many small ones side by side, with the digest choosing the table.
-
-All of it is expressions over rows, without Python on the executors.  After
-``RETRIES`` sizes a pair counts as differing in what was recovered so far.
+A text is cut into paragraphs: lines, cut further at some sentence ends (told by
+the character that follows), what is still long before words of some hashes, and
+what has no words into equal lengths.  So an edit moves no cut but those next to
+it, in any script and case.  Each paragraph is reduced to a 64-bit
+digest; the set of different digests goes into a sketch of 24 cells, three per
+digest, that hold a count and the exclusive ors of digests and of their checks.
+Two versions' sketches are subtracted cell by cell, which leaves only the
+differing digests, and peeling recovers them: a cell that holds one digest gives
+it away, its removal from its other cells opens more.
+
+If that fails, both versions are sketched anew in a larger size: many tables of
+24 cells, as many as the differing digests need (their number is measured on one
+digest in sixteen), with the digest choosing the table.  A table that can't be
+peeled is sketched again as eight tables with other cells, in up to ``RETRIES``
+rounds; what is left then, a few digests of one table, is compared as it is.  So
+every likeness counts all differing digests.
+
+All of it is expressions over rows, without Python on the executors.
 
 Null texts count as empty; two texts without paragraphs have likeness 1.  Rows
-with a null id come after all others, rows that share an id in an order by their
-text; other columns are ignored.
+with a null id come after all others, in an order by their text, as do rows that
+share an id among themselves; other columns are ignored.  An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -26,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TABLES, SLOTS, ROUNDS, RETRIES, PER_TABLE = 3, 8, 10, 3, 7
-MOST_BUCKETS, PER_BUCKET = 65536, 64
-#: Where a text is cut: at line ends, and within a line where a sentence ends before one that begins with a letter from A to H.
-CUT = r"[\n\r]+|(?<=[.!?])\s+(?=[A-H])"
+TABLES, SLOTS, ROUNDS, RETRIES, PER_TABLE = 3, 8, 10, 2, 7
+#: Levels of eight by which a larger sketch grows, and the digest's bit from which on they are dealt out.
+LEVELS, DEALT_FROM = 7, 61
+RANGES, PER_RANGE, PER_BUCKET = 64, 1024, 64
+#: Line ends, and sentence ends before some letters, a digit, a quote, or any character that is not ASCII.
+CUT = r"[\n\r\u2028\u2029]+|(?<=[.!?])\s+(?=[A-Ha-h0-9\"'(]|[^\x00-\x7F])|(?<=[\u3002\uFF01\uFF1F\u061F\u0964])\s*"
+#: Pieces of over ``LONG`` characters are cut before one word in sixteen, those of over ``LONGER`` still at equal lengths.
+LONG, LONGER, MARK, EQUAL = 600, 4000, "\x01", r"(?s)(?<=\G.{1000})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,16 +53,25 @@ def check(digest: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(digest), 32)
 
 
-def _member(digest: Column, n: Column | None = None) -> Column:
-    """A digest with a bit for each of its three cells and its check."""
-    place = [F.shiftrightunsigned(digest, 3 * t).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for t in range(TABLES)]
+def _member(digest: Column, n: Column | None = None, again: int = 0) -> Column:
+    """A digest with a bit for each of its three cells and its check; each round ``again`` has other cells."""
+    place = [F.shiftrightunsigned(digest, 3 * (t + TABLES * again)).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for t in range(TABLES)]
     bits = [F.call_function("shiftleft", F.lit(1 << (SLOTS * t)), p) for t, p in enumerate(place)]
     return F.struct(digest.alias("k"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"), check(digest).alias("h"), (F.lit(1) if n is None else n).alias("n"))
 
 
+def pieces(text: Column) -> Column:
+    """The paragraphs of a text, in order."""
+    finer = lambda parts, size, cut: F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > size, cut(x)).otherwise(F.array(x))))
+    marked = lambda w: F.when(F.xxhash64(w).bitwiseAND(F.lit(15)) == 0, F.concat(F.lit(MARK), w)).otherwise(w)
+    by_words = lambda x: F.split(F.array_join(F.transform(F.split(x, r"\s+"), marked), " "), MARK)
+    cut = finer(F.split(text, CUT), LONG, by_words)
+    return F.filter(F.when(F.length(text) > LONGER, finer(cut, LONGER, lambda x: F.split(x, EQUAL))).otherwise(cut), lambda x: x != "")
+
+
 def paragraphs(text: Column) -> Column:
     """The different paragraphs of a text as digests with their cells: an array of k, m, h, n."""
-    digests = F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    digests = F.array_distinct(F.transform(pieces(text), lambda x: F.xxhash64(x)))
     return F.transform(digests, lambda x: _member(x))
 
 
@@ -74,7 +94,7 @@ def subtracted(one: Column, two: Column) -> Column:
     return F.zip_with(one, two, lambda a, b: _cell(a.n - b.n, a.k.bitwiseXOR(b.k), a.h.bitwiseXOR(b.h)))
 
 
-def peeled(cells: Column) -> Column:
+def peeled(cells: Column, again: int = 0) -> Column:
     """Whether all digests of a difference were recovered, and how many of either side: ok, left, right."""
 
     def state(cells: Column, left: Column, right: Column, done: Column) -> Column:
@@ -90,7 +110,7 @@ def peeled(cells: Column) -> Column:
         return state(rest, s.left + ours, s.right + F.size(found) - ours, F.lit(False))
 
     def step(s: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(s.cells, single), lambda c: _member(c.k, c.n)))
+        found = F.array_distinct(F.transform(F.filter(s.cells, single), lambda c: _member(c.k, c.n, again)))
         return let(found, lambda f: F.when(F.size(f) == 0, state(s.cells, s.left, s.right, F.lit(True))).otherwise(removed(s, f)))
 
     begin = state(cells, F.lit(0), F.lit(0), F.lit(False))
@@ -98,36 +118,79 @@ def peeled(cells: Column) -> Column:
     return let(end, lambda s: F.struct((~F.exists(s.cells, lambda c: (c.n != 0) | (c.k != 0))).alias("ok"), s.left.alias("left"), s.right.alias("right")))
 
 
-def dealt(members: Column, wide: Column, deep: Column) -> Column:
-    """The paragraphs by table: ``wide`` times ``deep`` lists."""
-    of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    first = F.transform(of(wide), lambda i: F.filter(members, lambda x: F.pmod(F.shiftrightunsigned(x.k, 9), wide) == i))
-    return F.flatten(F.transform(first, lambda own: F.transform(of(deep), lambda j: F.filter(own, lambda x: F.pmod(F.shiftrightunsigned(x.k, 36), deep) == j))))
+def _by_bits(members: Column, low: int) -> Column:
+    """Eight lists by three bits of the digests."""
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.filter(members, lambda x: F.shiftrightunsigned(x.k, low).bitwiseAND(F.lit(7)) == i))
+
+
+def _counts(found: Column) -> Column:
+    """The numbers of differing digests of either side that some results hold."""
+    sum_of = lambda side: F.aggregate(found, F.lit(0), lambda x, r: x + r[side]).alias(side)
+    return F.struct(sum_of("left"), sum_of("right"))
+
+
+def _first(members: str) -> Column:
+    """The paragraphs in as many lists as the row is wide."""
+    numbers = F.when(F.col("wide__") > 0, F.sequence(F.lit(0), F.col("wide__") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda i: F.filter(members, lambda x: F.pmod(F.shiftrightunsigned(x.k, 32), F.col("wide__")) == i))
+
+
+def _deeper(lists: str, level: int) -> Column:
+    """A column's lists split in eight, where the row has more levels than this one."""
+    low = DEALT_FROM - 3 * level
+    return F.when(F.col("levels__") > level, F.flatten(F.transform(lists, lambda x: _by_bits(x, low)))).otherwise(F.col(lists))
+
+
+def _again(lists: str, turn: int) -> Column:
+    """A column's lists of the failed tables split in eight, with the cells of the round ``turn``."""
+    low = DEALT_FROM - 3 * (LEVELS + turn - 1)
+    anew = lambda own: F.transform(own, lambda m: _member(m.k, again=turn))
+    return F.flatten(F.transform("failed__", lambda x: F.transform(_by_bits(x[lists], low), anew)))
+
+
+def _peeled_each(turn: int) -> Column:
+    """The tables of both sides, subtracted and peeled."""
+    return F.zip_with("a__", "b__", lambda a, b: peeled(subtracted(sketch(a), sketch(b)), turn))
 
 
-def larger(one: Column, two: Column, factor: int) -> Column:
-    """Both versions in a larger sketch, subtracted and peeled table by table."""
-    tables = F.ceil((F.size(one) + F.size(two)) * F.lit(factor / PER_TABLE))
-    wide = F.greatest(F.ceil(F.sqrt(tables)), F.lit(1)).cast("long")
-    deep = F.greatest(F.ceil(tables / F.greatest(F.ceil(F.sqrt(tables)), F.lit(1))), F.lit(1)).cast("long")
+def _compared(table: Column) -> Column:
+    """The differing digests of a table, compared as they are."""
+    one, two = (F.transform(table[k], lambda m: m.k) for k in ("a__", "b__"))
+    return F.struct(F.size(F.array_except(one, two)).alias("left"), F.size(F.array_except(two, one)).alias("right"))
 
-    def run(size: Column) -> Column:
-        each = F.zip_with(dealt(one, size.wide, size.deep), dealt(two, size.wide, size.deep), lambda a, b: peeled(subtracted(sketch(a), sketch(b))))
-        return let(each, lambda rs: F.struct(F.forall(rs, lambda r: r.ok).alias("ok"), F.aggregate(rs, F.lit(0), lambda x, r: x + r.left).alias("left"), F.aggregate(rs, F.lit(0), lambda x, r: x + r.right).alias("right")))
 
-    return let(F.struct(wide.alias("wide"), deep.alias("deep")), run)
+def needed(one: Column, two: Column) -> Column:
+    """Tables that a larger sketch of both needs, by the digests that differ among one in sixteen, or by all if they are few."""
+    some = [F.transform(F.filter(x, lambda m: F.shiftrightunsigned(m.k, 28).bitwiseAND(F.lit(15)) == 0), lambda m: m.k) for x in (one, two)]
+    both = F.size(one) + F.size(two)
+    differing = F.when(both < 16 * PER_TABLE, both).otherwise(F.least(both, 16 * (F.size(F.array_except(*some)) + F.size(F.array_except(*reversed(some)))) + 2 * PER_TABLE))
+    return F.greatest(F.ceil(differing / F.lit(float(PER_TABLE))), F.lit(1))
 
 
 def with_likeness(rows: DataFrame, name: str, one: str, two: str, cells_one: str, cells_two: str) -> DataFrame:
     """Column ``name``: shared paragraphs by all, from the recovered differences of two fingerprints.
 
-    The sizes are tried one after another, each in a projection of its own.
+    First both fingerprints, then the larger sketch: ``a__`` and ``b__`` hold the
+    digests of either side by table, only of tables not yet peeled, and ``got__``
+    the differing digests recovered so far.
     """
-    rows = rows.withColumn(name, peeled(subtracted(F.col(cells_one), F.col(cells_two))))
-    for retry in range(RETRIES):
-        rows = rows.withColumn(name, F.when(F.col(f"{name}.ok"), F.col(name)).otherwise(larger(F.col(one), F.col(two), 8**retry)))
-    share = (F.size(one) - F.col(f"{name}.left")) / (F.size(one) + F.col(f"{name}.right"))
-    return rows.withColumn(name, F.when((F.size(one) == 0) & (F.size(two) == 0), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))))
+    rows = rows.withColumn("each__", peeled(subtracted(F.col(cells_one), F.col(cells_two))))
+    rows = rows.withColumn("got__", F.when(F.col("each__.ok"), F.struct("each__.left", "each__.right")).otherwise(F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"))))
+    rows = rows.withColumn("tables__", F.when(~F.col("each__.ok"), needed(F.col(one), F.col(two))))
+    rows = rows.withColumn("levels__", F.floor(F.log(8.0, F.col("tables__") + 0.5)).cast("int"))
+    rows = rows.withColumn("wide__", F.coalesce(F.ceil(F.col("tables__") / F.pow(F.lit(8.0), F.col("levels__"))), F.lit(0)).cast("int"))
+    rows = rows.withColumns({"a__": _first(one), "b__": _first(two)})
+    for level in range(LEVELS):
+        rows = rows.withColumns({k: _deeper(k, level) for k in ("a__", "b__")})
+    more = lambda found: F.struct(*((F.col(f"got__.{x}") + found[x]).alias(x) for x in ("left", "right")))
+    for turn in range(RETRIES + 1):
+        if turn:
+            rows = rows.withColumns({k: _again(k, turn) for k in ("a__", "b__")})
+        rows = rows.withColumn("each__", _peeled_each(turn)).withColumn("got__", more(_counts(F.filter("each__", lambda r: r.ok))))
+        rows = rows.withColumn("failed__", F.filter(F.arrays_zip("a__", "b__", "each__"), lambda x: ~x["each__"].ok))
+    rows = rows.withColumn("got__", more(_counts(F.transform("failed__", _compared))))
+    share = (F.size(one) - F.col("got__.left")) / (F.size(one) + F.col("got__.right"))
+    return rows.withColumn(name, F.when((F.size(one) == 0) & (F.size(two) == 0), F.lit(1.0)).otherwise(share)).drop("a__", "b__", "got__", "tables__", "levels__", "wide__", "each__", "failed__")
 
 
 def printed(cells: Column) -> Column:
@@ -136,42 +199,66 @@ def printed(cells: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(F.transform(cells, lambda c: F.concat(pad(c.n.bitwiseAND(F.lit(0xFFFF)), 4), pad(c.k, 16), pad(c.h, 8))), ""))), "\r\n", "")
 
 
+def _buckets(ids: DataFrame) -> Column:
+    """The bucket of a row (doc_id, text_hash): ranges of ids that hold about as many rows each.
+
+    ``RANGES`` quantiles, each cut evenly into up to ``PER_RANGE``, so that a few
+    far ids stretch one range alone.  Differences are doubles, which rise with the
+    ids and can't overflow.  Rows without an id are dealt out by ranges of their
+    hash, in buckets below 0.
+    """
+    each = max(1, min(PER_RANGE, ids.count() // (PER_BUCKET * RANGES)))
+    null = -1 - F.floor((F.shiftright("text_hash", 32) + (1 << 31)) / F.lit(float((1 << 32) // each + 1))).cast("long")
+    quantiles = F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 10_000)
+    low, high, cuts = ids.where(F.col("doc_id").isNotNull()).agg(F.min("doc_id"), F.max("doc_id"), quantiles).head()
+    if low is None:
+        return null
+    starts, id_ = sorted({low, *cuts}), F.col("doc_id")
+    bucket = F.when(id_.isNull(), null)
+    for i in reversed(range(len(starts))):
+        width = ((starts[i + 1] if i + 1 < len(starts) else high + 1) - starts[i]) / each
+        at = F.floor((id_.cast("double") - F.lit(float(starts[i]))) / F.lit(width)).cast("long")
+        bucket = bucket.when(id_ >= F.lit(starts[i]), F.least(F.greatest(at, F.lit(0)), F.lit(each - 1)) + i * each)
+    return bucket.otherwise(F.lit(0)).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
-    """Columns doc_id, text, next_text, late, and the window in which rows stand by descending id.
+    """Columns doc_id, text, text_hash, next_text, bucket, late, and the window in which rows stand by descending id.
 
-    The ids alone give ranges of ids; the texts are shuffled once, by range.  The
-    first row of each range goes along to the range before it as its last row
-    (``late``), that of the first range to the last; there are at most
-    ``MOST_BUCKETS`` ranges, whose first ids are all that reaches the driver.
+    The ids alone give buckets of neighbouring ids; the texts are shuffled once,
+    by bucket.  The first row of each goes along to the bucket before it as its
+    last row (``late``), that of the first to the last; there are at most
+    ``RANGES`` times ``PER_RANGE`` buckets, and ``PER_RANGE`` of rows without an
+    id, whose first rows are all that reaches the driver.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    low, high, n, nulls = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count_if(F.col("doc_id").isNull())).head()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = max(1, min(MOST_BUCKETS, n // PER_BUCKET))
-    width = (high - low) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(float(width))).cast("long"), F.lit(-1).cast("long"))
-    heads = sorted((r["bucket"], r["head"]) for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).collect())
-    lent = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)] or [(0, 0)]
-    lent_df = F.broadcast(spark.createDataFrame(lent, "head long, lent_to long"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(lent_df, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    bucket = _buckets(rows.select("doc_id", "text_hash"))
+    nameless = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    firsts = rows.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head"), F.min(nameless).alias("hash")).collect()
+    heads = sorted((r["bucket"], r["head"], r["hash"]) for r in firsts)
+    lent = [(head, hash_, heads[(i + 1) % len(heads)][0]) for i, (_, head, hash_) in enumerate(heads)]
+    key = lambda id_, hash_: F.struct(id_.isNull(), F.coalesce(id_, hash_))
+    lent_df = docs.sparkSession.createDataFrame(lent, "head long, hash long, lent_to long").select(key(F.col("head"), F.col("hash")).alias("key"), "lent_to")
+    rows = rows.withColumn("key", key(F.col("doc_id"), F.col("text_hash"))).join(F.broadcast(lent_df), "key", "left")
     places = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("late")), F.when(F.col("lent_to").isNotNull(), F.struct(F.col("lent_to").alias("bucket"), F.lit(1).alias("late")))))
-    placed = rows.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.*")
-    order = Window.partitionBy("bucket").orderBy("late", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    placed = rows.select("doc_id", "text", "text_hash", F.explode(places).alias("place")).select("doc_id", "text", "text_hash", "place.*")
+    order = Window.partitionBy("bucket").orderBy("late", F.desc_nulls_last("doc_id"), "text_hash")
     return placed.withColumn("next_text", F.lead("text").over(order)), order
 
 
-def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text's fingerprint, that of its edited text, and the likeness to the edited and to the next text.
-
-    The edited text has its last third replaced by the beginning of the next.
-    """
+def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
+    """The rows and window of ``with_next``, with n_chars and edited: the last third replaced by the beginning of the next text."""
     rows, order = with_next(docs, id_col, text_col)
-    third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - third), F.coalesce(F.col("next_text"), F.lit("")).substr(F.lit(1), third)))
-    rows = rows.select("doc_id", "bucket", "late", "text", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("other"))
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    kept = F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - third)
+    return rows.withColumn("edited", F.concat(kept, F.coalesce(F.col("next_text"), F.lit("")).substr(F.lit(1), third))), order
+
+
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text's fingerprint, that of its edited text, and the likeness to the edited and to the next text."""
+    rows, order = with_edited(docs, id_col, text_col)
+    rows = rows.select("doc_id", "bucket", "late", "text_hash", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("other"))
     rows = rows.withColumn("own_cells", sketch(F.col("own"))).withColumn("other_cells", sketch(F.col("other")))
     rows = rows.withColumn("next", F.lead("own").over(order)).withColumn("next_cells", F.lead("own_cells").over(order)).where("late = 0")
     rows = with_likeness(rows, "near_edited", "own", "other", "own_cells", "other_cells")
