@@ -76,11 +76,26 @@ def test_filter_never_underestimates(spark):
 # 1 Multi-index
 
 
-def test_cells_come_by_descending_sum():
+def test_pairs_come_by_descending_sum_less_need():
     one, two = np.random.default_rng(3).random((2, 9))
-    order = list(ann.cells_in_order(one, two))
-    sums = [one[a] + two[b] for a, b in order]
-    assert len(set(order)) == 81 and sums == sorted(sums, reverse=True)
+    needs = np.array([0.3, 0.0, 2.0])
+    order = list(ann.pairs_in_order(one, two, needs))
+    sums = [one[a] + two[b] - needs[k] for k, a, b in order]
+    assert len(set(order)) == 243 and sums == sorted(sums, reverse=True)
+
+
+def test_layout_holds_every_cell_in_blocks_of_bounded_size():
+    counts = np.random.default_rng(1).integers(0, 9, 200)
+    counts[[7, 90]] = 45, 21
+    own = ann.laid_out(counts, 10)
+    for cell in np.flatnonzero(counts):
+        for block in range(own.first_block[cell], own.first_block[cell] + own.parts[cell]):
+            assert own.ranges[block][0] <= cell < own.ranges[block][1]
+    sizes = [counts[slice(*r)].sum() for r, first in zip(own.ranges, range(len(own.ranges))) if own.parts[r[0]] == 1 and r[1] > r[0]]
+    assert max(sizes) < 20 and own.parts[7] == 5 and own.parts[90] == 3
+    split = [c for c in np.flatnonzero(own.parts > 1)]
+    blocks = [b for c in split for b in range(own.first_block[c], own.first_block[c] + own.parts[c])]
+    assert len(set(blocks)) == 8 and not set(blocks) & set(own.first_block[own.parts == 1])
 
 
 def exact(rows, top):
@@ -107,19 +122,35 @@ def test_search_is_exact_when_all_is_visited_and_handles_copies(spark):
     assert ann.searched(df.where("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_recall_on_vectors_without_clusters(spark):
+def test_an_id_with_two_vectors_is_two_entries(spark):
+    table = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (20, [1.0, 0.5]), (40, [1.0, 0.0])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    found = [(r["query_id"], r["vec_id"], r["score"]) for r in ann.searched(df, F.col("vec_id") == 20, 20).orderBy("rank").collect()]
+    assert found == [(20, 5, 1.0), (20, 40, 1.0), (20, 5, 0.5)]
+
+
+def clouds():
     rng = np.random.default_rng(5)
-    rows = rng.normal(size=(6000, 32)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    plain, centres = rng.normal(size=(6000, 48)), rng.normal(size=(150, 48))
+    yield "gaussian", plain, 0.5
+    yield "lengths", plain * np.exp(rng.normal(size=(6000, 1))), 0.2
+    yield "clusters", centres[rng.integers(0, 150, 6000)] + 0.3 * plain, 0.2
+
+
+@pytest.mark.parametrize(("name", "rows", "most"), list(clouds()), ids=lambda x: x if isinstance(x, str) else "")
+def test_recall_and_share_visited(spark, name, rows, most):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").cache()
     found = defaultdict(set)
-    for r in ann.searched(df, F.col("vec_id") % 100 == 0, 20).collect():
+    for r in ann.searched(df, F.col("vec_id") % 40 == 0, 20).collect():
         found[r["query_id"]].add(r["vec_id"])
     hits = 0
     for q, near in found.items():
-        scores = rows.astype(float) @ rows[q].astype(float)
+        scores = rows @ rows[q]
         scores[q] = -np.inf
         hits += len(near & set(np.argsort(-scores)[:20].tolist()))
-    assert hits / (20 * len(found)) >= 0.9
+    assert len(found) == 150 and hits / (20 * len(found)) >= 0.9
+    visits = ann.searched(df, F.col("vec_id") % 40 == 0, 20, visits=True).agg(F.avg(F.col("visited") / F.col("indexed"))).head()[0]
+    assert visits < most
 
 
 # 2 Language
@@ -144,6 +175,57 @@ def test_backoff_prefers_known_words_then_shorter_grams():
     assert langid.Backoff({}).predict("word") == ("und", 0.0)
 
 
+def plain_prediction(counts, text):
+    """The same scores from the definition, one probability at a time."""
+    import math
+
+    langs = sorted(counts)
+    marked = {lang: [(f"^{w}$", c) for w, c in counts[lang].items()] for lang in langs}
+    grams = {lang: [Counter(), Counter(), Counter(), Counter()] for lang in langs}
+    for lang in langs:
+        for word, c in marked[lang]:
+            for size in range(1, 5):
+                for i in range(len(word) - size + 1):
+                    grams[lang][size - 1][word[i : i + size]] += c
+
+    def logs(tables, key):
+        keys = set().union(*tables)
+        if key not in keys:
+            return None
+        return [math.log((t.get(key, 0) + 0.5) / (sum(t.values()) + len(keys) / 2)) for t in tables]
+
+    def gram(g):
+        if g in "^$":
+            return [0.0] * len(langs)
+        own = logs([grams[x][len(g) - 1] for x in langs], g)
+        if own is not None:
+            return own
+        return [0.0] * len(langs) if len(g) == 1 else [(a + b) / 2 for a, b in zip(gram(g[:-1]), gram(g[1:]))]
+
+    total = [0.0] * len(langs)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        own = logs([counts[x] for x in langs], word)
+        if own is None:
+            edge, n = f"^{word}$", min(4, len(word) + 2)
+            each = [gram(edge[i : i + n]) for i in range(len(edge) - n + 1)]
+            own = [sum(x) / len(each) for x in zip(*each)]
+        total = [t + x - max(own) for t, x in zip(total, own)]
+    best = total.index(max(total))
+    return langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+
+def test_backoff_against_its_definition():
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 6)))
+    counts = {lang: {word(letters): rng.randint(1, 30) for _ in range(40)} for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "aeghé"))}
+    model = langid.Backoff(counts)
+    known = [w for c in counts.values() for w in c]
+    for _ in range(200):
+        text = " ".join(rng.choice(known) if rng.random() < 0.5 else word("abcdefghéx") for _ in range(rng.randint(1, 12)))
+        lang, score = plain_prediction(counts, text)
+        assert model.predict(text) == (lang, pytest.approx(score))
+
+
 def test_language_tables(spark, docs):
     model = langid.fitted(docs, max_docs=20)
     assert model.langs == ["de", "en"]
@@ -159,7 +241,17 @@ def test_language_tables(spark, docs):
 
 
 def paragraphs(text):
-    return {x for x in re.split(r"[\n\r]+|(?<=[.!?])\s+(?=[A-H])", text) if x}
+    import xxhash
+
+    out = []
+    for piece in re.split("[\n\r\u2028\u2029]+|(?<=[.!?])[ \t\x0b\x0c]+(?=[A-Ha-h0-9\"'(]|[^\x00-\x7f])|(?<=[\u3002\uff01\uff1f\u061f\u0964])[ \t\x0b\x0c]*", text):
+        parts = [piece]
+        if len(piece) > 600:
+            marked = ["\x01" * (xxhash.xxh64_intdigest(w.encode(), 42) % 16 == 0) + w for w in re.split(r"[ \t\x0b\x0c]+", piece)]
+            parts = " ".join(marked).split("\x01")
+        for part in parts:
+            out += [part[i : i + 1000] for i in range(0, len(part), 1000)] if len(part) > 4000 else [part]
+    return {x for x in out if x}
 
 
 def likeness(a, b):
@@ -189,6 +281,73 @@ def test_sketches_of_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in rows) == [(0, 0), (1, 13), (1, 13)]
 
 
+def edited_by_brute_force(rows):
+    ordered = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for k, (i, text) in enumerate(ordered):
+        cut = len(text) // 3
+        out[i] = hashlib.sha256((text[: len(text) - cut] + ordered[(k + 1) % len(rows)][1][:cut]).encode()).hexdigest()
+    return out
+
+
+def test_next_documents_of_far_ids(spark, monkeypatch):
+    monkeypatch.setattr(versions, "PER_BUCKET", 1)
+    monkeypatch.setattr(versions, "RANGES", 4)
+    near = [(i * i, f"text {i} " * (i % 7)) for i in range(200)]
+    for ids in ([-(2**63), 2**63 - 1], [2**63 - 1, 2**63 - 2], [-(2**63)], [10**15]):
+        rows = near + [(i, f"far {i}") for i in ids]
+        found = by_id(versions.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert {i: r["edited_sha256"] for i, r in found.items()} == edited_by_brute_force(rows)
+
+
+def test_next_documents_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(versions, "PER_BUCKET", 1)
+    monkeypatch.setattr(versions, "RANGES", 4)
+    rows = [(None, f"unnamed {i} " + "x" * i) for i in range(60)] + [(7, "seven seven"), (9, "nine nine nine")] + [(None, "unnamed 3 xxx")]
+    found = versions.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {t for _, t in rows}
+    digests = {hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest() for a in texts for b in texts}
+    assert len(found) == 63 and all(r["edited_sha256"] in digests for r in found)
+    own = {r["doc_id"]: r["edited_sha256"] for r in found}
+    assert own[9] == hashlib.sha256(b"nine nine seve").hexdigest()
+
+
+@pytest.mark.parametrize(("retries", "per_table"), [(2, 7), (0, 60), (1, 25)])
+def test_likeness_counts_every_difference(spark, monkeypatch, retries, per_table):
+    monkeypatch.setattr(versions, "RETRIES", retries)
+    monkeypatch.setattr(versions, "PER_TABLE", per_table)
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        lines = [f"line {rng.randrange(3 * 4**i // 100 + 20)}" for _ in range(rng.choice((3, 30, 300, 1500)))]
+        rows.append((i, "\n".join(lines)))
+    found = by_id(versions.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, text in rows:
+        after = dict(rows)[(i - 1) % 12]
+        cut = len(text) // 3
+        assert found[i]["near_next"] == pytest.approx(likeness(paragraphs(text), paragraphs(after)))
+        assert found[i]["near_edited"] == pytest.approx(likeness(paragraphs(text), paragraphs(text[: len(text) - cut] + after[:cut])))
+
+
+def test_texts_of_many_lines(spark):
+    import time
+
+    for n in (16_000, 100_000):
+        rows = [(i, "\n".join(f"line {i if j % 3 else 0} number {j}" for j in range(n))) for i in range(2)]
+        began = time.perf_counter()
+        found = by_id(versions.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert found[0]["near_next"] == pytest.approx(likeness(*(paragraphs(t) for _, t in rows)))
+        assert time.perf_counter() - began < 120
+
+
+def test_paragraphs_of_any_script_and_case(spark):
+    texts = ["one sentence here. and another one! but a third", "Это предложение. Второе предложение. Третье.", "漢字の文。次の文。", "word " * 900, "x" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {x for x in r["p"]} for r in df.select("doc_id", versions.pieces(F.col("text")).alias("p")).collect()}
+    assert found == {i: paragraphs(t) for i, t in enumerate(texts)}
+    assert [len(found[i]) for i in (0, 1, 2)] == [3, 3, 2] and len(found[4]) == 1
+
+
 # 4 Packing
 
 
@@ -277,6 +436,67 @@ def test_every_notice_within_its_edits_is_found():
             assert notice.label in {x["label"] for x in scan.fuzzy(line)}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def runs_within(line, notice):
+    """Every run of words within the notice's edits: begin, end and edits."""
+    ends = [0]
+    for word in line.split():
+        ends.append(ends[-1] + len(word) + 1)
+    for i, begin in enumerate(ends):
+        for end in (e - 1 for e in ends[i + 1 :]):
+            if abs(end - begin - len(notice.words)) <= notice.edits:
+                d = edit_distance(line[1:][begin:end], notice.words)
+                if d <= notice.edits:
+                    yield begin, end, d
+
+
+def edited(text, edits):
+    out = list(text)
+    for _ in range(edits):
+        i, kind = RNG.randrange(1, len(out) - 1), RNG.randrange(3)
+        out[i : i + (kind < 2)] = RNG.choice("abz ") if kind else ""
+    return "".join(out)
+
+
+def test_spans_of_several_notices_against_edit_distance():
+    some = [n for n in licences.NOTICES if len(n.words) < 40]
+    scan = licences.Scanner(licences.PHRASES, tuple(some))
+    for _ in range(60):
+        parts = []
+        for _ in range(RNG.randint(1, 4)):
+            notice = RNG.choice(some)
+            parts += [edited(notice.words, RNG.randint(0, notice.edits + 1)), RNG.choice(["", "", "gnu", "public license bar"])]
+        line = f" {' '.join(' '.join(parts).split())} "
+        found = scan.fuzzy(line)
+        for notice in some:
+            mine = [(x["begin"], x["end"], x["edits"]) for x in found if x["label"] == notice.label and x["of"] == len(notice.words)]
+            assert all(edit_distance(line[1:][b:e], notice.words) == d for b, e, d in mine)
+            assert all(e <= b for (_, e, _), (b, _, _) in zip(sorted(mine), sorted(mine)[1:]))
+            for begin, end, d in runs_within(line, notice):
+                assert any(b < end and begin < e and z <= d for b, e, z in mine)
+
+
+def test_a_worse_notice_before_a_better_one_is_reported():
+    scan = licences.Scanner(licences.PHRASES, licences.NOTICES)
+    found = scan.fuzzy(" mozilla public licens mozilla public license ")
+    assert [(x["first_word"], x["n_words"], x["edits"]) for x in found] == [(0, 3, 1), (3, 3, 0)]
+
+
+def test_licences_of_a_very_long_text(spark):
+    text = "lorem ipsum license " * 200_000 + "released under teh mit license " + "x" * 10**6
+    found = licences.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert found["n_words"] == 600_006 and [x["word"] for x in found["base"]] == [600_003]
+    assert {(x["label"], x["first_word"], x["edits"]) for x in found["found"]} == {("mit", 600_000, 2)}
+
+
 # 6 Substrings
 
 
@@ -321,6 +541,33 @@ def test_repeats_of_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.without_repeats(same, 3).collect()) == [(0, 0), (5, 0), (5, 0), (6, 3)]
 
 
+CLASHES = "doc_id long, text string, row string, `all` int, kept string, n_words int, n_removed int, spans string, sig long, `a.b` int, label string, draw long, class_id long, n_chars int"
+
+
+def test_trimming_with_clashing_columns(spark):
+    words = [f"w{i}" for i in range(80)]
+    texts = {1: " ".join(words), 2: "z " + " ".join(words[:60]) + "  y", 3: " ".join(words[:50]), 4: None, 5: "  a  b "}
+    rows = [(i, t, "r", 1, "k", 2, 3, "s", 4, 5, "l", 6, 7, 99) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, CLASHES)
+    out = repeats.trimmed(df)
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert {i: r["text"] for i, r in found.items()} == {1: texts[1], 2: "z y", 4: None, 5: "  a  b "}
+    assert [found[i]["n_chars"] for i in (1, 2)] == [99, 3] and tuple(found[2])[2:13] == ("r", 1, "k", 2, 3, "s", 4, 5, "l", 6, 7)
+    assert repeats.trimmed(df.select("text")[df["text"].isNull()].withColumn("doc_id", F.lit(1))).count() == 1
+
+
+@pytest.mark.parametrize("hot", [2, 512])
+def test_repeats_of_one_hot_passage(spark, monkeypatch, hot):
+    from pointmill.plans import joins
+
+    monkeypatch.setattr(joins, "HOT", hot)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"{common} u{i} " * (1 + i % 3) + f"t{i % 5} " * 12) for i in range(80)]
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()}
+    assert found == brute_repeats(rows, 10)
+
+
 def test_substring_query_matches_sql(spark):
     import duckdb
 
@@ -358,7 +605,7 @@ def test_alignment_against_plain_dynamic_programming():
 
 def brute_classes(rows, least=0.8):
     column = pa.array([t for _, t in rows], pa.string())
-    own = [w for w, _ in neardup.sequences_of(column, 5)]
+    own = [w for w, *_ in neardup.sequences_of(column, 5)]
     parent = {i: i for i, _ in rows}
 
     def root(x):
@@ -414,6 +661,57 @@ def test_crowded_copies_that_one_original_holds_together(spark, monkeypatch, par
     assert found == brute_classes(sorted(rows)) == dict.fromkeys(found, 0)
 
 
+def test_pairs_in_a_crowd_that_shares_a_passage(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    passage, rows = rng.choices(vocabulary, k=300), []
+    for _ in range(60):
+        rest = rng.choices(vocabulary, k=100)
+        other = [rng.choice(vocabulary) if k % 5 == 0 else w for k, w in enumerate(rest)]
+        rows += [(len(rows), " ".join(passage + rest)), (len(rows) + 1, " ".join(passage + other))]
+    found = {r["doc_id"]: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["class_id"] for i, r in found.items()} == {i: i // 2 * 2 for i in range(120)}
+    assert all(r["n_links"] >= 1 for r in found.values())
+
+
+def test_links_are_true_and_connect_the_classes(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(6, 80))]
+        for _ in range(rng.choice((1, 2, 5))):
+            rows.append((len(rows), " ".join(w if rng.random() > 0.04 else "new" for w in base)))
+    rows += [(1000 + i, t) for i, t in rows[:30]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, links = neardup.near_duplicates(df, 0.8, 5, 40, 2, 11, "doc_id", "text")
+    of, texts = {r["doc_id"]: r for r in found.collect()}, dict(rows)
+    pairs = {(r["src"], r["dst"]) for r in links.collect()}
+    assert pairs and all(a < b and plain_similarity(texts[a].split(), texts[b].split()) >= 0.8 for a, b in pairs)
+    root = {i: min(j for j, t in rows if t == texts[i]) for i, _ in rows}
+    degree = Counter(x for p in pairs for x in p)
+    assert all(of[i]["n_links"] == degree[root[i]] for i, _ in rows)
+    group = {i: root[i] for i in root}
+    for _ in rows:
+        for a, b in pairs:
+            low = min(group[a], group[b])
+            group = {i: low if g in (group[a], group[b]) else g for i, g in group.items()}
+    assert {i: r["class_id"] for i, r in of.items()} == group
+
+
+def test_one_changed_word_in_a_short_text(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for i in range(150):
+        words = [f"{'abcdefgh'[rng.randrange(8)]}{rng.randrange(500)}" for _ in range(10 + i % 15)]
+        other = list(words)
+        other[len(words) // 2] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rows += [(900, "one two three four"), (901, "one two three four five")]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = sum(found[2 * i + 1] != 2 * i for i in range(150))
+    assert missed <= 1 and found[901] == 900
+
+
 def test_links_of_a_block_against_all_pairs():
     rng = random.Random(9)
     sequences = []
@@ -458,14 +756,31 @@ def test_pieces_equal_the_library(spark, docs):
         assert digests[r["doc_id"]]["ids"] == hashlib.sha256(own["ids"].encode()).hexdigest()
 
 
-def test_chunk_table_equals_the_library():
-    own = pieces.ChunkTable(public_tokenizers.path("piece_bpe_32k.model"))
-    own.table.kept = 50
-    texts = ["".join(RNG.choices([*LETTERS, "<s>", "word", "  "], k=RNG.randint(0, 15))) for _ in range(4000)]
-    for a in range(0, 4000, 500):
-        some = texts[a : a + 500]
-        full = own.model.encode(some)
-        assert own.run(some) == [(len(f), ",".join(map(str, f)), own.model.decode(f)) for f in full]
+@pytest.mark.parametrize("chars", [1, 3000])
+def test_runs_of_any_size_equal_the_library(spark, monkeypatch, chars):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "RUN_CHARS", chars)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    n = 300 if chars == 1 else 3000
+    texts = ["".join(RNG.choices([*LETTERS, "<s>", "word", "  "], k=RNG.randint(0, 15))) for _ in range(n)] + [None, "", "y" * 50_000, "a b " * 9000]
+    rows = [(None if i == 5 else i, t) for i, t in enumerate(texts)]
+    found = pieces.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path).collect()
+    want = []
+    for i, t in rows:
+        ids = model.encode(t or "")
+        want.append((-1 if i is None else i, len(ids), ",".join(map(str, ids)), model.decode(ids)))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], *tuple(r)[1:]) for r in found) == sorted(want)
+
+
+def test_each_distinct_word_is_segmented_once(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "RUN_CHARS", 10)
+    rows = [(i, f"common word{i % 7} common") for i in range(60)]
+    coded = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(pieces._coded, pieces.CODED).cache()
+    listed = coded.where("words is not null").select(F.explode("words").alias("word"))
+    assert listed.where("word = 'common'").count() > 1 and listed.distinct().count() == 8
+    assert coded.where("words is null").select(F.length("codes")).distinct().collect()[0][0] == 6
 
 
 def test_pieces_of_odd_tables(spark):
@@ -565,7 +880,8 @@ def brute_rules(baskets, support, confidence):
             for some in combinations(sorted(tokens), size):
                 counts[some] += 1
                 both[some, label] += 1
-    full = {(t, lab): c / counts[t] for (t, lab), c in both.items() if c / n >= support and c / counts[t] >= confidence and lab != "allow"}
+    share = Counter(label for _, label in baskets)
+    full = {(t, lab): c / counts[t] for (t, lab), c in both.items() if lab is not None and c / n >= support and c / counts[t] >= max(confidence, share[lab] / n + 1e-12) and lab != "allow"}
     return {(t, lab): v for (t, lab), v in full.items() if not any(set(o) < set(t) and lab2 == lab for o, lab2 in full)}
 
 
@@ -574,7 +890,7 @@ def test_mined_rules_against_all_combinations(spark):
     baskets = []
     for _ in range(200):
         tokens = {t for t in "abcdef" if rng.random() < 0.4}
-        baskets.append((sorted(tokens), "block" if {"a", "b"} <= tokens or rng.random() < 0.1 else "allow"))
+        baskets.append((sorted(tokens), None if rng.random() < 0.2 and "c" in tokens else "block" if {"a", "b"} <= tokens or rng.random() < 0.1 else "allow"))
     df = spark.createDataFrame(baskets, "tokens array<string>, label string")
     found = {(r.tokens, r.label): r.confidence for r in urls.mined(df, 0.05, 0.8)}
     want = brute_rules(baskets, 0.05, 0.8)
@@ -592,5 +908,32 @@ def test_a_surer_rule_of_the_default_label_wins(spark):
     assert [(found[i]["verdict"], found[i]["confidence"]) for i in (1, 2, 3)] == [("allow", 1.0), ("block", 0.8), ("allow", 0.0)]
 
 
+def test_a_token_of_undecided_urls_blocks_none(spark):
+    known = [f"http://a{i}.x.net/es/{i}" for i in range(20)] + [f"http://b{i}.y.com/es/{i}" for i in range(20)]
+    open_ = [f"http://c{i}.z.net/en/{i}" for i in range(30)] + ["http://d.x.net/blog/es/9"]
+    pages = spark.createDataFrame(list(enumerate(known + open_)), "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in urls.judged(pages).collect()}
+    assert [found[i] for i in range(40)] == ["block"] * 20 + ["allow"] * 20
+    assert {found[i] for i in range(40, 70)} == {"allow"} and found[70] == "block"
+    places = urls.placed(pages, urls.RULES, "page_id", "url").select("tokens", F.col("fixed").alias("label"))
+    own = urls.measured(places)
+    assert own.urls >= own.judged == own.right > 0
+
+
+def test_support_rises_where_tokens_have_many_combinations(spark):
+    rows = [([f"t{k}" for k in range(16)], "block" if i % 2 else "allow") for i in range(40)] + [([f"u{i % 3}"], "block") for i in range(60)]
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    baskets = df.select(F.col("tokens").alias("items"))
+    assert urls.bounded_support(baskets, 0.01, 100) == 0.5 and urls.bounded_support(baskets.where("size(items) = 1"), 0.01, 60) == 0.01
+    assert urls.mined(df, 0.01, 0.8, None) == []
+
+
+def test_urls_without_ids_and_very_long_ones(spark):
+    rows = [(None, "http://x.net/es/1"), (None, None), (3, "http://x.com/" + "a/" * 10**6), (3, "http://x.com/"), (4, "http://" + "h" * 10**6)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, tokens string, fixed string")
+    found = urls.judged(df).collect()
+    assert sorted((r["page_id"] or 0, len(r["path"]), r["verdict"]) for r in found) == [(0, 0, "allow"), (0, 5, "block"), (3, 1, "allow"), (3, 2 * 10**6 + 1, "allow"), (4, 0, "allow")]
+
+
 def test_urls_of_an_empty_table(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0

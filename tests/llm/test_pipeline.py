@@ -38,6 +38,23 @@ def test_pipeline_of_odd_documents(spark):
         assert {r["doc_id"] for r in out.collect()} == ({1, None} if data is docs else set())
 
 
+def test_stages_with_clashing_columns(spark):
+    extra = {"sig": 1, "spans": "s", "kept": "k", "n_words": 2, "n_removed": 3, "row": "r", "all": 4, "label": "x", "class_id": 5, "draw": 6, "to__": 7, "sequence": "q", "whole__": "w", "a.b": 8, "part": 9, "ids": "i", "score": 0}
+    words = [f"w{i}" for i in range(70)]
+    texts = [" ".join(words), "x y " + " ".join(words[:55]) + " z" * 60, None, "", "one two three", " ".join(words) + " end"]
+    schema = "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"`{c}` {'string' if isinstance(v, str) else 'int'}" for c, v in extra.items())
+    docs = spark.createDataFrame([(i, t, "en", len(t or ""), *extra.values()) for i, t in enumerate(texts)], schema)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns, name
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert set(found) == {0, 1, 4} and found[1]["text"] == "x y" + " z" * 60 and found[1]["n_chars"] == 123
+    assert all(tuple(r)[4:] == tuple(extra.values()) for r in found.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, SF)
+    assert {r["doc_id"] for r in packed.collect()} == {0, 1, 4}
+
+
 def test_texts_stay_where_no_language_can_be_learned(spark):
     rows = [(1, "one two three"), (2, None), (3, "12 34"), (4, "four five")]
     for lang in (None, "en"):
