@@ -15,28 +15,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null, or without a letter) go."""
+    """Documents whose language can't be told go.
+
+    These are null and empty texts and those without a letter.  Every row is
+    judged for itself, with a null or repeated id too.  A table without
+    labelled texts keeps every text with a letter; an empty one stays empty.
+    All columns pass through, whatever their names.
+    """
     return langid.kept(docs, langid.fitted(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; so do rows without an id."""
+    """Of each class of near duplicates the document with the smallest id stays.
+
+    Rows without an id stay, as do texts without words, which are classes of
+    their own; rows that share an id stay or go together.  All columns pass
+    through, whatever their names.
+    """
     others = neardup.classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows that an earlier document has go; a document with none left goes, an untouched text stays as it is."""
-    found = repeats.with_kept(docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")), F.col("text").alias("whole__")))
-    text = F.when(F.col("n_removed") == 0, F.col("whole__")).otherwise(F.col("kept"))
-    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return left.select(docs.columns)
+    """Words in windows that a document with a smaller id has too go; a document with none left goes.
+
+    An untouched text stays as it is, null, empty and short ones included.  Rows
+    without an id lose nothing and take nothing from others; rows that share an
+    id are one document where windows are compared.  ``n_chars`` follows the
+    text; all other columns pass through, whatever their names.
+    """
+    return repeats.trimmed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of what is left."""
+    """Token sequences of what is left; a null or empty text is its end id alone, every row is a document."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
