@@ -27,8 +27,6 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,21 +41,26 @@ CUT = r"[\n\r\u2028\u2029]+|(?<=[.!?])\s+(?=[A-Ha-h0-9\"'(]|[^\x00-\x7F])|(?<=[\
 LONG, LONGER, MARK, EQUAL = 600, 4000, "\x01", r"(?s)(?<=\G.{1000})"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_BITS = f"array({', '.join(str(1 << i) for i in range(TABLES * SLOTS))})"
+_SUMS = "named_struct('n', {a}.n + {sign}{n}, 'k', {a}.k ^ {b}.k, 'h', {a}.h ^ {b}.h)"
+
+# The expressions over digests are SQL text: parsed at once, they are far quicker to build than column by column.
 
 
-def check(digest: Column) -> Column:
+def check(digest: str) -> str:
     """32 bits that tell a single digest from an exclusive or of several."""
-    return F.shiftrightunsigned(F.xxhash64(digest), 32)
+    return f"shiftrightunsigned(xxhash64({digest}), 32)"
+
 
+def bits_of(digest: str, low: int, mask: int = 7) -> str:
+    """Some bits of a digest as a number."""
+    return f"(shiftrightunsigned({digest}, {low}) & {mask})"
 
-def _member(digest: Column, n: Column | None = None, again: int = 0) -> Column:
+
+def member(digest: str, n: str = "1", again: int = 0) -> str:
     """A digest with a bit for each of its three cells and its check; each round ``again`` has other cells."""
-    place = [F.shiftrightunsigned(digest, 3 * (t + TABLES * again)).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for t in range(TABLES)]
-    bits = [F.call_function("shiftleft", F.lit(1 << (SLOTS * t)), p) for t, p in enumerate(place)]
-    return F.struct(digest.alias("k"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"), check(digest).alias("h"), (F.lit(1) if n is None else n).alias("n"))
+    bits = [f"shiftleft({1 << (SLOTS * t)}, cast({bits_of(digest, 3 * (t + TABLES * again), SLOTS - 1)} AS int))" for t in range(TABLES)]
+    return f"named_struct('k', {digest}, 'm', {' | '.join(bits)}, 'h', {check(digest)}, 'n', {n})"
 
 
 def pieces(text: Column) -> Column:
@@ -72,99 +75,57 @@ def pieces(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """The different paragraphs of a text as digests with their cells: an array of k, m, h, n."""
     digests = F.array_distinct(F.transform(pieces(text), lambda x: F.xxhash64(x)))
-    return F.transform(digests, lambda x: _member(x))
-
-
-def _cell(n: Column, key: Column, sum_: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), key.cast("long").alias("k"), sum_.cast("long").alias("h"))
+    return F.transform(digests, lambda k: _struct(k))
 
 
-_BITS = [1 << i for i in range(TABLES * SLOTS)]
+def _struct(digest: Column) -> Column:
+    """``member`` of a column."""
+    bits = [F.call_function("shiftleft", F.lit(1 << (SLOTS * t)), F.shiftrightunsigned(digest, 3 * t).bitwiseAND(F.lit(SLOTS - 1)).cast("int")) for t in range(TABLES)]
+    return F.struct(digest.alias("k"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"), F.shiftrightunsigned(F.xxhash64(digest), 32).alias("h"), F.lit(1).alias("n"))
 
 
-def sketch(members: Column) -> Column:
+def sketch(members: str) -> str:
     """The 24 cells of some paragraphs."""
-    empty = _cell(F.lit(0), F.lit(0), F.lit(0))
-    add = lambda cell, x: _cell(cell.n + 1, cell.k.bitwiseXOR(x.k), cell.h.bitwiseXOR(x.h))
-    return F.transform(F.array(*map(F.lit, _BITS)), lambda bit: F.aggregate(F.filter(members, lambda x: x.m.bitwiseAND(bit) != 0), empty, add))
+    add = _SUMS.format(a="c", b="x", sign="", n="1")
+    return f"transform({_BITS}, bit -> aggregate(filter({members}, x -> (x.m & bit) != 0), named_struct('n', 0, 'k', 0L, 'h', 0L), (c, x) -> {add}))"
 
 
-def subtracted(one: Column, two: Column) -> Column:
+def subtracted(one: str, two: str) -> str:
     """Cells of the first less those of the second."""
-    return F.zip_with(one, two, lambda a, b: _cell(a.n - b.n, a.k.bitwiseXOR(b.k), a.h.bitwiseXOR(b.h)))
+    return f"zip_with({one}, {two}, (c, d) -> {_SUMS.format(a='c', b='d', sign='-', n='d.n')})"
 
 
-def peeled(cells: Column, again: int = 0) -> Column:
+def peeled(cells: str, again: int = 0) -> str:
     """Whether all digests of a difference were recovered, and how many of either side: ok, left, right."""
-
-    def state(cells: Column, left: Column, right: Column, done: Column) -> Column:
-        return F.struct(cells.alias("cells"), left.cast("int").alias("left"), right.cast("int").alias("right"), done.alias("done"))
-
-    def single(c: Column) -> Column:
-        return (F.abs(c.n) == 1) & (c.h == check(c.k))
-
-    def removed(s: Column, found: Column) -> Column:
-        drop = lambda c, p: _cell(c.n - p.n, c.k.bitwiseXOR(p.k), c.h.bitwiseXOR(p.h))
-        rest = F.zip_with(s.cells, F.array(*map(F.lit, _BITS)), lambda c, bit: F.aggregate(F.filter(found, lambda p: p.m.bitwiseAND(bit) != 0), c, drop))
-        ours = F.size(F.filter(found, lambda p: p.n == 1))
-        return state(rest, s.left + ours, s.right + F.size(found) - ours, F.lit(False))
-
-    def step(s: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(s.cells, single), lambda c: _member(c.k, c.n, again)))
-        return let(found, lambda f: F.when(F.size(f) == 0, state(s.cells, s.left, s.right, F.lit(True))).otherwise(removed(s, f)))
-
-    begin = state(cells, F.lit(0), F.lit(0), F.lit(False))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: F.when(s.done, s).otherwise(step(s)))
-    return let(end, lambda s: F.struct((~F.exists(s.cells, lambda c: (c.n != 0) | (c.k != 0))).alias("ok"), s.left.alias("left"), s.right.alias("right")))
-
-
-def _by_bits(members: Column, low: int) -> Column:
+    found = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND c.h = {check('c.k')}), c -> {member('c.k', 'c.n', again)}))"
+    drop = _SUMS.format(a="c", b="p", sign="-", n="p.n")
+    rest = f"zip_with(s.cells, {_BITS}, (own, bit) -> aggregate(filter(f, p -> (p.m & bit) != 0), own, (c, p) -> {drop}))"
+    ours = "size(filter(f, p -> p.n = 1))"
+    state = lambda cells, left, right, done: f"named_struct('cells', {cells}, 'left', {left}, 'right', {right}, 'done', {done})"
+    ended = state("s.cells", "s.left", "s.right", "true")
+    removed = state(rest, f"s.left + {ours}", f"s.right + size(f) - {ours}", "false")
+    step = f"element_at(transform(array({found}), f -> if(size(f) = 0, {ended}, {removed})), 1)"
+    end = f"aggregate(sequence(1, {ROUNDS}), {state(cells, '0', '0', 'false')}, (s, i) -> if(s.done, s, {step}))"
+    return f"element_at(transform(array({end}), s -> named_struct('ok', NOT exists(s.cells, c -> c.n != 0 OR c.k != 0), 'left', s.left, 'right', s.right)), 1)"
+
+
+def _by_bits(members: str, low: int) -> str:
     """Eight lists by three bits of the digests."""
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.filter(members, lambda x: F.shiftrightunsigned(x.k, low).bitwiseAND(F.lit(7)) == i))
-
-
-def _counts(found: Column) -> Column:
-    """The numbers of differing digests of either side that some results hold."""
-    sum_of = lambda side: F.aggregate(found, F.lit(0), lambda x, r: x + r[side]).alias(side)
-    return F.struct(sum_of("left"), sum_of("right"))
-
-
-def _first(members: str) -> Column:
-    """The paragraphs in as many lists as the row is wide."""
-    numbers = F.when(F.col("wide__") > 0, F.sequence(F.lit(0), F.col("wide__") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda i: F.filter(members, lambda x: F.pmod(F.shiftrightunsigned(x.k, 32), F.col("wide__")) == i))
-
-
-def _deeper(lists: str, level: int) -> Column:
-    """A column's lists split in eight, where the row has more levels than this one."""
-    low = DEALT_FROM - 3 * level
-    return F.when(F.col("levels__") > level, F.flatten(F.transform(lists, lambda x: _by_bits(x, low)))).otherwise(F.col(lists))
-
-
-def _again(lists: str, turn: int) -> Column:
-    """A column's lists of the failed tables split in eight, with the cells of the round ``turn``."""
-    low = DEALT_FROM - 3 * (LEVELS + turn - 1)
-    anew = lambda own: F.transform(own, lambda m: _member(m.k, again=turn))
-    return F.flatten(F.transform("failed__", lambda x: F.transform(_by_bits(x[lists], low), anew)))
-
-
-def _peeled_each(turn: int) -> Column:
-    """The tables of both sides, subtracted and peeled."""
-    return F.zip_with("a__", "b__", lambda a, b: peeled(subtracted(sketch(a), sketch(b)), turn))
+    return f"transform(sequence(0, 7), i -> filter({members}, x -> {bits_of('x.k', low)} = i))"
 
 
-def _compared(table: Column) -> Column:
-    """The differing digests of a table, compared as they are."""
-    one, two = (F.transform(table[k], lambda m: m.k) for k in ("a__", "b__"))
-    return F.struct(F.size(F.array_except(one, two)).alias("left"), F.size(F.array_except(two, one)).alias("right"))
+def _counts(found: str) -> str:
+    """The differing digests of either side recovered so far, and those that some results hold."""
+    total = lambda side: f"got__.{side} + aggregate({found}, 0, (n, r) -> n + r.{side})"
+    return f"named_struct('left', {total('left')}, 'right', {total('right')})"
 
 
-def needed(one: Column, two: Column) -> Column:
+def needed(one: str, two: str) -> str:
     """Tables that a larger sketch of both needs, by the digests that differ among one in sixteen, or by all if they are few."""
-    some = [F.transform(F.filter(x, lambda m: F.shiftrightunsigned(m.k, 28).bitwiseAND(F.lit(15)) == 0), lambda m: m.k) for x in (one, two)]
-    both = F.size(one) + F.size(two)
-    differing = F.when(both < 16 * PER_TABLE, both).otherwise(F.least(both, 16 * (F.size(F.array_except(*some)) + F.size(F.array_except(*reversed(some)))) + 2 * PER_TABLE))
-    return F.greatest(F.ceil(differing / F.lit(float(PER_TABLE))), F.lit(1))
+    some = [f"transform(filter({x}, m -> {bits_of('m.k', 28, 15)} = 0), m -> m.k)" for x in (one, two)]
+    both = f"(size({one}) + size({two}))"
+    differing = f"if({both} < {16 * PER_TABLE}, {both}, least({both}, 16 * (size(array_except({some[0]}, {some[1]})) + size(array_except({some[1]}, {some[0]}))) + {2 * PER_TABLE}))"
+    return f"greatest(ceil({differing} / {float(PER_TABLE)}D), 1)"
 
 
 def with_likeness(rows: DataFrame, name: str, one: str, two: str, cells_one: str, cells_two: str) -> DataFrame:
@@ -174,23 +135,27 @@ def with_likeness(rows: DataFrame, name: str, one: str, two: str, cells_one: str
     digests of either side by table, only of tables not yet peeled, and ``got__``
     the differing digests recovered so far.
     """
-    rows = rows.withColumn("each__", peeled(subtracted(F.col(cells_one), F.col(cells_two))))
-    rows = rows.withColumn("got__", F.when(F.col("each__.ok"), F.struct("each__.left", "each__.right")).otherwise(F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"))))
-    rows = rows.withColumn("tables__", F.when(~F.col("each__.ok"), needed(F.col(one), F.col(two))))
-    rows = rows.withColumn("levels__", F.floor(F.log(8.0, F.col("tables__") + 0.5)).cast("int"))
-    rows = rows.withColumn("wide__", F.coalesce(F.ceil(F.col("tables__") / F.pow(F.lit(8.0), F.col("levels__"))), F.lit(0)).cast("int"))
-    rows = rows.withColumns({"a__": _first(one), "b__": _first(two)})
+    sides = {"a__": one, "b__": two}
+    added = lambda rows, **columns: rows.withColumns({k: F.expr(v) for k, v in columns.items()})
+    rows = added(rows, each__=peeled(subtracted(cells_one, cells_two)))
+    rows = added(rows, got__="if(each__.ok, named_struct('left', each__.left, 'right', each__.right), named_struct('left', 0, 'right', 0))", tables__=f"if(each__.ok, NULL, {needed(one, two)})")
+    rows = added(rows, levels__="cast(floor(log(8, tables__ + 0.5D)) AS int)")
+    rows = added(rows, wide__="cast(coalesce(ceil(tables__ / pow(8D, levels__)), 0) AS int)")
+    first = "transform(if(wide__ > 0, sequence(0, wide__ - 1), cast(array() AS array<int>)), i -> filter({}, x -> pmod(shiftrightunsigned(x.k, 32), wide__) = i))"
+    rows = added(rows, **{k: first.format(members) for k, members in sides.items()})
     for level in range(LEVELS):
-        rows = rows.withColumns({k: _deeper(k, level) for k in ("a__", "b__")})
-    more = lambda found: F.struct(*((F.col(f"got__.{x}") + found[x]).alias(x) for x in ("left", "right")))
+        rows = added(rows, **{k: f"if(levels__ > {level}, flatten(transform({k}, l -> {_by_bits('l', DEALT_FROM - 3 * level)})), {k})" for k in sides})
     for turn in range(RETRIES + 1):
         if turn:
-            rows = rows.withColumns({k: _again(k, turn) for k in ("a__", "b__")})
-        rows = rows.withColumn("each__", _peeled_each(turn)).withColumn("got__", more(_counts(F.filter("each__", lambda r: r.ok))))
-        rows = rows.withColumn("failed__", F.filter(F.arrays_zip("a__", "b__", "each__"), lambda x: ~x["each__"].ok))
-    rows = rows.withColumn("got__", more(_counts(F.transform("failed__", _compared))))
-    share = (F.size(one) - F.col("got__.left")) / (F.size(one) + F.col("got__.right"))
-    return rows.withColumn(name, F.when((F.size(one) == 0) & (F.size(two) == 0), F.lit(1.0)).otherwise(share)).drop("a__", "b__", "got__", "tables__", "levels__", "wide__", "each__", "failed__")
+            split = _by_bits("t.{}", DEALT_FROM - 3 * (LEVELS + turn - 1))
+            rows = added(rows, **{k: f"flatten(transform(failed__, t -> transform({split.format(k)}, l -> transform(l, m -> {member('m.k', again=turn)}))))" for k in sides})
+        rows = added(rows, each__=f"zip_with(a__, b__, (a, b) -> {peeled(subtracted(sketch('a'), sketch('b')), turn)})")
+        rows = added(rows, got__=_counts("filter(each__, r -> r.ok)"), failed__="filter(arrays_zip(a__, b__, each__), t -> NOT t.each__.ok)")
+    digests = lambda side: f"transform(t.{side}, m -> m.k)"
+    differing = lambda a, b: f"size(array_except({digests(a)}, {digests(b)}))"
+    rows = added(rows, got__=_counts(f"transform(failed__, t -> named_struct('left', {differing('a__', 'b__')}, 'right', {differing('b__', 'a__')}))"))
+    rows = added(rows, **{name: f"if(size({one}) = 0 AND size({two}) = 0, 1D, (size({one}) - got__.left) / (size({one}) + got__.right))"})
+    return rows.drop("a__", "b__", "got__", "tables__", "levels__", "wide__", "each__", "failed__")
 
 
 def printed(cells: Column) -> Column:
@@ -259,7 +224,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Every text's fingerprint, that of its edited text, and the likeness to the edited and to the next text."""
     rows, order = with_edited(docs, id_col, text_col)
     rows = rows.select("doc_id", "bucket", "late", "text_hash", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("other"))
-    rows = rows.withColumn("own_cells", sketch(F.col("own"))).withColumn("other_cells", sketch(F.col("other")))
+    rows = rows.withColumns({"own_cells": F.expr(sketch("own")), "other_cells": F.expr(sketch("other"))})
     rows = rows.withColumn("next", F.lead("own").over(order)).withColumn("next_cells", F.lead("own_cells").over(order)).where("late = 0")
     rows = with_likeness(rows, "near_edited", "own", "other", "own_cells", "other_cells")
     rows = with_likeness(rows, "near_next", "own", "next", "own_cells", "next_cells")
