@@ -14,7 +14,8 @@ is bounded whatever the size of the table.
 
 A null text, or one without a letter, gets ``und`` and score 0; so does every
 text if nothing could be learned.  Ties go to the alphabetically first
-language.  Repeated rows are judged each; other columns are ignored.
+language.  Repeated rows are judged each, texts of any length whole; other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -165,11 +166,12 @@ def kept(docs: DataFrame, model: Backoff, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language; with a model of no languages those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
     at = docs.columns.index(text_col)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Backoff.of(*shared.value)
         told = (lambda text: own.predict(text)[0] != UNDETERMINED) if own.langs else (lambda text: any(map(_lettered, _WORD.findall((text or "").lower()))))
         for batch in batches:
-            yield batch.filter(pa.array([told(text.as_py()) for text in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([told(text.as_py()) for text in batch.column(0).field(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole.mapInArrow(run, whole.schema).select(*(F.col("row")[c].alias(c) for c in docs.columns))
