@@ -18,8 +18,9 @@ says how many pairs at the threshold share a draw, by kind of edit.
 Documents with equal word sequences are one class from the start, represented by
 the smallest id.  In every bucket of equal draws, in ``PICKS`` rounds, all
 members are verified against one of them, picked by a hash that differs between buckets
-and rounds, in the second round the one with the fewest words; members that the
-links so far connect to it are left out.
+and rounds, in the last round the one with the fewest words; members that the
+links so far connect to it are left out, so the first round looks at one bucket in
+``FIRST``, which connects most copies, and the others need few pairs more.
 The members still outside the bucket's largest component, its strays, are then
 verified against all members in other components, so that every candidate pair
 is verified or inside one component already, without all pairs of a group.
@@ -55,8 +56,8 @@ from ..plans.scratch import dropped, written
 from . import cells
 from .rolling import LOWER, SIGN, U, mixed, text_runs, words
 
-#: Members and strays beyond which a bucket is crowded, and rounds of picked members.
-CROWDED, STRAYS, PICKS = 48, 16, 2
+#: Members and strays beyond which a bucket is crowded, rounds of picked members, and the part of all buckets that the first round looks at.
+CROWDED, STRAYS, PICKS, FIRST = 48, 16, 3, 4
 #: Words that a short text has at most, and the size and number of its further draws.
 SHORT, SHORT_SIZE, SHORT_DRAWS = 24, 2, 12
 #: Members and words in a part of a crowded bucket.
@@ -282,8 +283,9 @@ def near_duplicates(docs: DataFrame, least: float, size: int, draws: int, kept:
     placed = buckets.withColumn("own", F.col("id"))
     for turn in range(PICKS):
         chance = F.xxhash64("id", "draw", F.lit(turn))
-        heads = placed.groupBy("draw").agg(F.min_by(F.struct(F.col("id").alias("head"), F.col("own").alias("main")), F.struct("n", chance) if turn == 1 else chance).alias("h")).select("draw", "h.*")
-        stars = placed.join(heads, "draw").where("own <> main").select(F.least("head", "id").alias("src"), F.greatest("head", "id").alias("dst")).distinct()
+        some = placed.where(F.pmod("draw", F.lit(FIRST)) == 0) if turn == 0 else placed
+        heads = some.groupBy("draw").agg(F.min_by(F.struct(F.col("id").alias("head"), F.col("own").alias("main")), F.struct("n", chance) if turn == PICKS - 1 else chance).alias("h")).select("draw", "h.*")
+        stars = some.join(heads, "draw").where("own <> main").select(F.least("head", "id").alias("src"), F.greatest("head", "id").alias("dst")).distinct()
         joined(linked(stars))
         before, placed = placed, written(of(buckets.withColumn("own", F.col("id")), "own"), "placed")
         dropped(before)
