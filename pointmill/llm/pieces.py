@@ -8,12 +8,15 @@ property is refused.
 
 1. Every text becomes numbers: the places of its marked words in the word list
    of its run, a stretch of about ``RUN_CHARS`` characters of neighbouring texts.
-2. The runs' lists are reduced to the distinct words, each is segmented once, and
-   what was found goes back to the runs that hold the word.
-3. A run's texts and its words meet in one task, and numbers turn into ids.
+2. The runs' lists, cut into buckets by a hash of the word, meet by bucket; there
+   each distinct word is segmented once, and what was found goes back to the runs
+   that hold the word, in the order of their lists.
+3. A run's numbers and what was found for its words meet in one task, and numbers
+   turn into ids.
 
-So what is shuffled per text is one number for each word, two bytes as a rule, and
-per run its distinct words; a frequent word is one row for each run.
+All three kinds of lists travel packed: a run's numbers as one row, its words and
+what was found for them as one row for each bucket.  The number of buckets grows
+with the words, so that a bucket's distinct words fit a task.
 
 Null texts count as empty: no ids, empty decoded text.  Texts and words of any
 length are taken whole.  Other columns are ignored, whatever their names; repeated
@@ -23,12 +26,15 @@ rows are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +45,11 @@ from .packing import slices
 MARK = "▁"
 RUN_CHARS = 1 << 23
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-CODED = "run long, doc_id long, codes binary, wide boolean, words array<string>"
-FOUND = "word string, ids string, decoded string"
+CODED = "run long, bucket int, size int, ids array<long>, counts array<int>, packed binary"
+FOUND = "of long, bucket int, ids binary, decoded binary"
 OUT = "doc_id long, n_tokens long, ids string, decoded string"
+#: Bytes of text for which there is a bucket of words, and the fewest buckets.
+PER_BUCKET, LEAST_BUCKETS = 1 << 25, 16
 
 
 class Numbered(dict):
@@ -91,6 +99,19 @@ def _segmenter(path: str) -> Segmenter:
     return _WORKER[path]
 
 
+def packed(words: list[str]) -> bytes:
+    """Texts as one compressed value."""
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    return zlib.compress(np.array([len(x) for x in data], "<u4").tobytes() + b"".join(data), 1)
+
+
+def unpacked(blob: bytes, n: int) -> list[str]:
+    """The n texts of ``packed``."""
+    data = zlib.decompress(blob)
+    ends = (4 * n + np.cumsum(np.frombuffer(data, "<u4", n))).tolist()
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([4 * n, *ends], ends)]
+
+
 class Run:
     """A stretch of texts as numbers, with its words."""
 
@@ -103,27 +124,39 @@ class Run:
         self.codes.append(array("I", map(self.words.__getitem__, chunks(text))))
         self.chars += len(text)
 
-    def rows(self) -> pa.RecordBatch:
-        """A row for each text, and one for the words."""
-        wide, n = len(self.words) > 1 << 16, len(self.ids)
-        codes = [np.array(c, "<u4" if wide else "<u2").tobytes() for c in self.codes]
-        columns = [pa.array([self.run] * (n + 1), pa.int64()), pa.array([*self.ids, None], pa.int64()), pa.array([*codes, None], pa.binary()), pa.array([wide] * (n + 1)), pa.array([*[None] * n, list(self.words)], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, ["run", "doc_id", "codes", "wide", "words"])
-
-
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, made = TaskContext.get().partitionId() << 32, 0
-    own = Run(base)
-    for batch in batches:
-        for begun, texts in slices(batch.column(1)):
-            for doc_id, text in zip(batch.column(0).slice(begun, len(texts)).to_pylist(), texts):
-                own.add(doc_id, text)
-            if own.chars >= RUN_CHARS:
-                yield own.rows()
-                made += 1
-                own = Run(base + made)
-    if own.ids:
-        yield own.rows()
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        """A row of numbers, and one for the words of each bucket; numbers follow the words' order by bucket."""
+        words = list(self.words)
+        slots = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words], np.int64)
+        order = np.argsort(slots, kind="stable")
+        place = np.empty(len(words), "<u4")
+        place[order] = np.arange(len(words))
+        numbers = place[np.concatenate([np.frombuffer(c, "<u4") for c in self.codes])] if words else np.zeros(0, "<u4")
+        planes = numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+        cuts = np.searchsorted(slots[order], np.arange(buckets + 1))
+        some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        blobs = [packed([words[i] for i in order[cuts[b] : cuts[b + 1]]]) for b in some]
+        rows = [(self.run, -1, len(words), self.ids, [len(c) for c in self.codes], zlib.compress(planes, 1)), *((self.run, b, int(cuts[b + 1] - cuts[b]), None, None, x) for b, x in zip(some, blobs))]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["run", "bucket", "size", "ids", "counts", "packed"])
+
+
+def _coded(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made = TaskContext.get().partitionId() << 32, 0
+        own = Run(base)
+        for batch in batches:
+            for begun, texts in slices(batch.column(1)):
+                for doc_id, text in zip(batch.column(0).slice(begun, len(texts)).to_pylist(), texts):
+                    own.add(doc_id, text)
+                if own.chars >= RUN_CHARS:
+                    yield own.rows(buckets)
+                    made += 1
+                    own = Run(base + made)
+        if own.ids:
+            yield own.rows(buckets)
+
+    return run
 
 
 def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,27 +167,41 @@ def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col:
     """
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _segmenter(model_path)
+        model, known, at = _segmenter(model_path), {}, None  # known: a bucket's words with ids and decoded text
         for batch in batches:
-            found = model.found(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["word", "ids", "decoded"])
-
-    def joined(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = pa.array(np.argsort(words.column("at").to_numpy()))
-        ids, decoded = (words.column(c).take(order).to_pylist() for c in ("ids", "decoded"))
-        n, lines, backs = [], [], []
-        for codes, wide in zip(texts.column("codes").to_pylist(), texts.column("wide").to_pylist()):
-            places = np.frombuffer(codes, "<u4" if wide else "<u2").tolist()
+            for run, bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if bucket != at:
+                    known, at = {}, bucket
+                words = unpacked(blob, size)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, model.found(new)))
+                both = [known[w] for w in words]
+                columns = [pa.array([run], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([packed([x[k] for x in both])], pa.binary()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["of", "bucket", "ids", "decoded"])
+
+    def joined(texts: pa.Table, found: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
+        order = np.argsort(found.column("bucket").to_numpy())
+        sizes = {r["bucket"]: r["size"] for r in texts.select(["bucket", "size"]).to_pylist()}
+        ids, decoded = ([x for r in order for x in unpacked(found.column(c)[r].as_py(), sizes[found.column("bucket")[r].as_py()])] for c in ("ids", "decoded"))
+        (own,) = texts.filter(pa.compute.equal(texts.column("bucket"), -1)).to_pylist()
+        planes = np.frombuffer(zlib.decompress(own["packed"]), np.uint8).reshape(4, -1)
+        numbers, at = np.ascontiguousarray(planes.T).view("<u4").ravel().tolist(), 0
+        for doc_id, n in zip(own["ids"], own["counts"]):
+            places = numbers[at : at + n]
+            at += n
             line, back = ",".join([ids[i] for i in places]), " ".join([decoded[i] for i in places])
-            n.append(line.count(",") + 1 if line else 0)
-            lines.append(hashlib.sha256(line.encode()).hexdigest() if digests else line)
-            backs.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(lines, pa.string()), "decoded": pa.array(backs, pa.string())})
+            out["doc_id"].append(doc_id)
+            out["n_tokens"].append(line.count(",") + 1 if line else 0)
+            out["ids"].append(hashlib.sha256(line.encode()).hexdigest() if digests else line)
+            out["decoded"].append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.string(), "decoded": pa.string()}
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = written(rows.mapInArrow(_coded, CODED), "coded")
-    listed = coded.where(F.col("words").isNotNull()).select("run", F.posexplode("words").alias("at", "word"))
-    table = listed.select("word").distinct().mapInArrow(segmented, FOUND)
-    words = listed.join(table, "word").select(F.col("run").alias("of"), "at", "ids", "decoded")
-    texts = coded.where(F.col("words").isNull()).select("run", "doc_id", "codes", "wide")
-    return texts.groupBy("run").cogroup(words.groupBy("of")).applyInArrow(joined, OUT)
+    buckets = max(LEAST_BUCKETS, math.ceil((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / PER_BUCKET))
+    coded = written(rows.mapInArrow(_coded(buckets), CODED), "coded")
+    lists = coded.where("bucket >= 0").select("run", "bucket", "size", "packed")
+    found = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(segmented, FOUND)
+    light = coded.select("run", "bucket", "size", "ids", "counts", F.when(F.col("bucket") < 0, F.col("packed")).alias("packed"))
+    return light.groupBy("run").cogroup(found.groupBy("of")).applyInArrow(joined, OUT)
