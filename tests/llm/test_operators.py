@@ -774,13 +774,19 @@ def test_runs_of_any_size_equal_the_library(spark, monkeypatch, chars):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], *tuple(r)[1:]) for r in found) == sorted(want)
 
 
-def test_each_distinct_word_is_segmented_once(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "RUN_CHARS", 10)
+def test_runs_list_each_word_once_and_by_bucket():
     rows = [(i, f"common word{i % 7} common") for i in range(60)]
-    coded = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(pieces._coded, pieces.CODED).cache()
-    listed = coded.where("words is not null").select(F.explode("words").alias("word"))
-    assert listed.where("word = 'common'").count() > 1 and listed.distinct().count() == 8
-    assert coded.where("words is null").select(F.length("codes")).distinct().collect()[0][0] == 6
+    lists = [r for a in (0, 30) for r in coded_run(a, rows[a : a + 30]).to_pylist()]
+    words = sorted(w for r in lists if r["bucket"] >= 0 for w in pieces.unpacked(r["packed"], r["size"]))
+    assert words == sorted(2 * ["common", *(f"word{i}" for i in range(7))])
+    assert {pieces.zlib.crc32(w.encode()) % 4 for w in words} == {r["bucket"] for r in lists} - {-1}
+
+
+def coded_run(number, rows):
+    own = pieces.Run(number)
+    for i, text in rows:
+        own.add(i, text)
+    return own.rows(4)
 
 
 def test_pieces_of_odd_tables(spark):
