@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import order_statistic
+
 
 def vertical_gaps(points: DataFrame, xy_voxel_size: float = 0.25) -> DataFrame:
     """Each point with the next one above it in its column, and the gap between."""
@@ -21,7 +23,7 @@ def dense_gap(gaps: DataFrame, percentile: float = 25.0) -> float | None:
     if not n:
         return None
     at = min(max(int(n * percentile / 100), 0), n - 1)
-    return gaps.orderBy("gap").offset(at).limit(1).select("gap").head()[0]
+    return order_statistic(gaps, "gap", at)
 
 
 def densified(points: DataFrame, xy_voxel_size: float = 0.25, max_vertical_gap: float = 0.6, density_factor: float = 6.0, density_percentile: float = 25.0, vertical_spacing: float | None = None) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.grid import cell_double, checked_size, spread
-from ..plans.scratch import written
+from ..plans.scratch import dropped, written
 
-Score = Callable[[], Column]
+#: Parts of the targets of a wide cell.
+SALTS = 8
 
 
 def ring_join(queries: DataFrame, targets: DataFrame, k: int, cell_size: float, score: Column, outside: Callable[[float], Column], keep: Column | None = None) -> DataFrame:
@@ -20,39 +21,39 @@ def ring_join(queries: DataFrame, targets: DataFrame, k: int, cell_size: float,
 
     ``queries`` have qid, qx, qy, ``targets`` tid, tx, ty; ``score`` and ``keep``
     are over both, and ``outside(r)`` bounds from below the score of any target
-    farther than r in x and y.  Rings of cells around each query are searched
-    until its k-th score is at most that bound; only queries still open go on to
-    a ring twice as wide, and the last ring spans everything.
+    farther than r in x and y.  The cell of each query and those around it are
+    searched until its k-th score is at most that bound; only queries still open
+    go on to cells twice as wide.  From the third width on, where cells are few,
+    the targets of a cell lie in ``SALTS`` parts that the queries all visit.
     """
     size = checked_size(cell_size)
-    keyed = written(targets.withColumns({"gx": cell_double("tx", size), "gy": cell_double("ty", size)}), "targets")
-    ends = keyed.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).head()
-    open_ = written(queries.withColumns({"gx": cell_double("qx", size), "gy": cell_double("qy", size)}), "queries")
-    own = open_.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).head()
+    targets, open_ = written(targets, "targets"), written(queries, "queries")
+    ends = targets.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).head()
+    own = open_.agg(F.min("qx"), F.max("qx"), F.min("qy"), F.max("qy")).head()
     if ends[0] is None or own[0] is None:
         return queries.join(targets.limit(0), F.lit(False)).withColumn("score", score).withColumn("rank", F.lit(1))
-    most = max(ends[1] - own[0], own[1] - ends[0], ends[3] - own[2], own[3] - ends[2], 1)
-    reach, found = 1, None
+    most = max(ends[1] - own[0], own[1] - ends[0], ends[3] - own[2], own[3] - ends[2])
+    found, turn = None, 0
     while True:
-        last = reach >= most
-        if last or reach > 8:  # few are left: whole columns of cells instead of single cells
-            around = F.explode(F.sequence(F.col("gx") - reach, F.col("gx") + reach))
-            near = open_.withColumn("gx", around).drop("gy").join(keyed.withColumnRenamed("gy", "ty_cell"), "gx").drop("ty_cell")
-        else:
-            near = spread(open_, ("gx", "gy"), reach).join(keyed, ["gx", "gy"]).drop("gy")
-        near = near.drop("gx").withColumn("score", score)
+        last, salts = size > most, 1 if turn < 2 else SALTS
+        salted = F.pmod(F.xxhash64("tid"), F.lit(salts)) if salts > 1 else F.lit(0).cast("long")
+        keyed = targets.withColumns({"gx": cell_double("tx", size), "gy": cell_double("ty", size), "salt": salted})
+        around = spread(open_.withColumns({"gx": cell_double("qx", size), "gy": cell_double("qy", size)}), ("gx", "gy"))
+        around = around.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        near = around.join(keyed, ["gx", "gy", "salt"]).drop("gx", "gy", "salt").withColumn("score", score)
         near = near if keep is None else near.where(keep)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "tid"))).where(F.col("rank") <= k)
         if last:
             return ranked if found is None else found.unionByName(ranked)
         ranked = written(ranked, "ranked")
-        sure = ranked.where((F.col("rank") == k) & (F.col("score") <= outside(reach * size))).select("qid")
+        sure = ranked.where((F.col("rank") == k) & (F.col("score") <= outside(size))).select("qid")
         done = ranked.join(sure, "qid", "left_semi")
         found = done if found is None else found.unionByName(done)
-        open_ = written(open_.join(sure, "qid", "left_anti"), "queries")
+        before, open_ = open_, written(open_.join(sure, "qid", "left_anti"), "queries")
+        dropped(before)
         if open_.isEmpty():
             return found
-        reach = min(2 * reach, most)
+        size, turn = 2 * size, turn + 1
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int = 1, cell_size: float = 1.0, dims: int = 2) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..plans.scratch import written
 
 LEAST_ANGLE = 5.0
+RAY = ("ray_x", "ray_y", "ray_z")
+ANGLES = ("scan_angle_rank", "scan_angle", "scan_angle_deg")
 
 
 def has_valid_angles(points: DataFrame, angle: str = "scan_angle_deg") -> bool:
@@ -72,15 +74,32 @@ def rays(points: DataFrame) -> DataFrame | None:
     return joined.select(*points.columns, *((F.col(f"c{a}") - F.col(a)).cast("float").alias(f"ray_{a}") for a in "xy"), (F.col("height") - F.col("z")).cast("float").alias("ray_z"))
 
 
-def ray_columns(points: DataFrame) -> DataFrame:
-    """Metadata by its usual names: ranks are degrees, other angles 0.006 of one; without it the table comes back as it is."""
-    names = {c.lower(): c for c in points.columns}
-    if not {"gps_time", "point_source_id"} <= set(names):
-        return points
-    if "scan_angle_rank" in names:
-        return points.withColumn("scan_angle_deg", F.col(names["scan_angle_rank"]).cast("double"))
-    if "scan_angle" in names:
-        return points.withColumn("scan_angle_deg", F.col(names["scan_angle"]) * F.lit(0.006))
+def checked(points: DataFrame) -> DataFrame:
+    """The points, or ValueError if they have some of the three ray columns only, or a ray that is not finite."""
+    missing = [c for c in RAY if c not in points.columns]
+    if missing:
+        raise ValueError(f"rays need the columns {', '.join(RAY)}; missing: {', '.join(missing)}")
+    odd = [F.col(c).isNull() | F.isnan(F.col(c)) | (F.abs(F.col(c)) == float("inf")) for c in RAY]
+    if not points.where(odd[0] | odd[1] | odd[2]).isEmpty():
+        raise ValueError("a ray is not finite")
     return points
 
 
+def ray_columns(points: DataFrame, angle: str | None = None) -> DataFrame:
+    """Metadata by its usual names: ranks are degrees, other angles 0.006 of one; without it the table comes back as it is.
+
+    ``angle`` names the angle column to use; without it, ranks come first.  Two
+    columns of angles in degrees, a rank next to scan_angle_deg, are refused.
+    """
+    names = {c.lower(): c for c in points.columns}
+    if not {"gps_time", "point_source_id"} <= set(names):
+        return points
+    if angle is None and {"scan_angle_rank", "scan_angle_deg"} <= set(names):
+        raise ValueError("two columns of scan angles, scan_angle_rank and scan_angle_deg; name one")
+    use = angle or next((a for a in ("scan_angle_deg", "scan_angle_rank", "scan_angle") if a in names), None)
+    if use is None or use == "scan_angle_deg":
+        return points
+    if use not in names:
+        raise ValueError(f"there is no column {use}")
+    degrees = F.col(names[use]) * F.lit(0.006) if use == "scan_angle" else F.col(names[use]).cast("double")
+    return points.withColumn("scan_angle_deg", degrees)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -50,8 +53,21 @@ def without_trunks(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     return points.join(partial_trunks(points, cluster).where("is_trunk").select(cluster), cluster, "left_anti").select(points.columns)
 
 
+def _inside(xy: np.ndarray) -> np.ndarray:
+    """Points strictly inside the polygon of those that are extreme in eight directions."""
+    sums = [xy[:, 0], xy[:, 0] + xy[:, 1], xy[:, 1], xy[:, 1] - xy[:, 0]]
+    ends = xy[[int(f(v)) for f in (np.argmax, np.argmin) for v in sums]]
+    within = np.ones(len(xy), bool)
+    for (ax, ay), (bx, by) in zip(ends, np.roll(ends, -1, axis=0)):
+        if ax != bx or ay != by:
+            within &= (bx - ax) * (xy[:, 1] - ay) - (by - ay) * (xy[:, 0] - ax) > 0
+    return within
+
+
 def hull(xy: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, by Andrew's monotone chains."""
+    """Corners of the convex hull, by Andrew's monotone chains, without points that lie inside a polygon of extreme ones."""
+    if len(xy) > 64:
+        xy = xy[~_inside(xy)]
     xy = np.unique(xy, axis=0)
     if len(xy) < 3:
         return xy
@@ -75,26 +91,70 @@ def shoelace(corners: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Corners of the hull of each run of rows of one cluster; what is held is one hull and one batch."""
+    held: tuple | None = None
+    for batch in batches:
+        ids, xy = batch.column(0).to_numpy(), np.column_stack([batch.column(k).to_numpy() for k in (1, 2)])
+        order = np.argsort(ids, kind="stable")
+        ids, xy = ids[order], xy[order]
+        cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, int)
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(ids)]):
+            own = hull(xy[a:b])
+            if held is not None and held[0] == ids[a]:
+                held = held[0], hull(np.vstack([held[1], own]))
+            else:
+                out += [held] if held is not None else []
+                held = ids[a], own
+        if out:
+            yield _corner_rows(out)
+    if held is not None:
+        yield _corner_rows([held])
+
+
+def _corner_rows(hulls: list[tuple]) -> pa.RecordBatch:
+    xy = np.vstack([h for _, h in hulls])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat([c for c, _ in hulls], [len(h) for _, h in hulls])), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["cluster__", "x", "y"])
+
+
+def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each cluster, whose corners follow each other: its area, null if it has none."""
+    ids, areas, own, last = [], [], [], None
+
+    def close() -> None:
+        if last is not None:
+            found = shoelace(hull(np.array(own)))
+            ids.append(last), areas.append(found if found > 0 else None)
+
+    for batch in _corners(batches):
+        for cluster, x, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if cluster != last:
+                close()
+                own, last = [], cluster
+            own.append((x, y))
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(areas, pa.float64())], ["cluster__", "area"])
+
+
 def hull_areas(points: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Per cluster the area of the convex hull in x and y, null if it has none.
+    """Per cluster the area of the convex hull in x and y, null if it has none; points without a cluster are left out.
 
-    Hulls of parts of a cluster come first; their corners make the whole hull, so
-    no task holds a whole cluster.
+    Hulls of the rows that a task has come first, without a shuffle; their corners
+    meet by cluster and part, then by cluster, so no task holds a whole cluster.
     """
-    kind = points.schema[cluster].dataType.simpleString()
-
-    def corners(rows: pd.DataFrame) -> pd.DataFrame:
-        found = hull(rows[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({cluster: rows[cluster].iloc[0], "x": found[:, 0], "y": found[:, 1]})
+    kind, corners = points.schema[cluster].dataType.simpleString(), "cluster__ long, x double, y double"
+    places = points.where(F.col(cluster).isNotNull()).select(F.col(cluster).cast("long").alias("cluster__"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    local = places.mapInArrow(_corners, corners).withColumn("part__", F.pmod(F.xxhash64("x", "y"), F.lit(HULL_PARTS)))
+    parts = local.repartition("cluster__", "part__").sortWithinPartitions("cluster__").select("cluster__", "x", "y").mapInArrow(_corners, corners)
+    whole = parts.repartition("cluster__").sortWithinPartitions("cluster__").mapInArrow(_areas, "cluster__ long, area double")
+    return whole.select(F.col("cluster__").cast(kind).alias(cluster), "area")
 
-    def area(rows: pd.DataFrame) -> pd.DataFrame:
-        found = shoelace(hull(rows[["x", "y"]].to_numpy(float)))
-        return pd.DataFrame({cluster: [rows[cluster].iloc[0]], "area": [found if found > 0 else None]}).astype({"area": "float64"})
 
-    places = points.select(cluster, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
-    parts = places.withColumn("part__", F.pmod(F.xxhash64("x", "y"), F.lit(HULL_PARTS)))
-    some = parts.groupBy(cluster, "part__").applyInPandas(corners, f"`{cluster}` {kind}, x double, y double")
-    return some.groupBy(cluster).applyInPandas(area, f"`{cluster}` {kind}, area double")
+def lowest_points(points: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Per cluster its lowest point (ties: smallest id) as ``low``, and its height from there."""
+    low = F.min_by(F.struct("point_id", "x", "y", "z"), F.struct("z", "point_id")).alias("low")
+    return points.groupBy(cluster).agg(low, (F.max("z") - F.min("z")).alias("height"))
 
 
 def shrub_report(points: DataFrame, ground: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -103,8 +163,7 @@ def shrub_report(points: DataFrame, ground: DataFrame, cluster: str = "cluster")
     Ground is the mean of the ground points within 0.75 in x and y of the lowest
     point; the section reaches 0.4 above it.  Widths are hull areas over pi.
     """
-    lowest = points.groupBy(cluster).agg(F.min_by(F.struct("x", "y", "z"), F.struct("z", "point_id")).alias("low"), (F.max("z") - F.min("z")).alias("height"))
-    lowest = written(lowest.select(cluster, "height", F.col("low.x").alias("qx"), F.col("low.y").alias("qy"), F.col("low.z").alias("low_z")), "lowest")
+    lowest = written(lowest_points(points, cluster).select(cluster, "height", F.col("low.x").alias("qx"), F.col("low.y").alias("qy"), F.col("low.z").alias("low_z")), "lowest")
     level = nearest.box_mean(lowest.select(F.col(cluster).cast("long").alias("qid"), "qx", "qy"), ground, 0.75).select(F.col("qid").alias(cluster), "ground_z")
     level = written(lowest.join(level, cluster, "left"), "levels")
     section = points.join(level.select(cluster, "ground_z"), cluster).where(F.col("z").between(F.col("ground_z"), F.col("ground_z") + 0.4))

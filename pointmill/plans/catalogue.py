@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, densify, ground, labels, nearest, rays, shapes, tiles, woodleaf
+from ..operators import clusters, densify, ground, labels, nearest, rays, shapes, tiles, views, woodleaf
 from ..schema import UNASSIGNED, Config
 from ..sources import las
 from ..streaming.tiles import tile_counts
@@ -118,11 +118,11 @@ def stream_tile_counts(spark, sf_dir):
     return tile_counts(fixtures.points(spark, sf_dir), 10.0)
 
 
-def _components(axes: str) -> str:
+def _components(axes: str, label: int = 7) -> str:
     keys = [f"c{a}" for a in axes]
     near = " AND ".join(f"abs(a.{k} - b.{k}) <= 1" for k in keys)
     listed = ", ".join(keys)
-    return f"""own AS (SELECT *, {_HALF} FROM points WHERE classification = 7),
+    return f"""own AS (SELECT *, {_HALF} FROM points WHERE classification = {label}),
 cells AS (SELECT {listed}, row_number() OVER (ORDER BY {listed}) AS id FROM (SELECT DISTINCT {listed} FROM own)),
 near AS (SELECT a.id AS u, b.id AS v FROM cells a JOIN cells b ON {near} AND a.id <> b.id),
 reach AS (SELECT id AS u, id AS root FROM cells UNION SELECT near.v, reach.root FROM reach JOIN near ON near.u = reach.u WHERE reach.root < near.v),
@@ -264,38 +264,78 @@ def cluster_covariance(spark, sf_dir):
     return shapes.covariances(own).select("cluster", "n", *(F.round(f"cov_{p}", 6).alias(f"cov_{p}") for p in shapes.PAIRS))
 
 
-@_query()
-def partial_trunks(spark, sf_dir):
-    own = _trees(spark, sf_dir).withColumn("cluster", F.col("tree_seed"))
-    return shapes.partial_trunks(own, min_points=30).select("cluster", "n", F.round("linearity", 6).alias("linearity"), F.round("upright", 6).alias("upright"), "is_trunk")
+def _axes(src: str, least: int) -> str:
+    """Tables that end in trunks: eigenvalues of each cluster's covariance in closed form, and the upright part of the main axis."""
+    return f"""covs AS (SELECT cluster, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM {src} GROUP BY cluster),
+mids AS (SELECT *, (xx + yy + zz) / 3 AS q FROM covs),
+scaled AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM mids),
+turned AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 ELSE 0 END AS phi FROM scaled),
+roots3 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM turned),
+minors AS (SELECT *, 3 * q - l1 - l3 AS l2, (yy - l1) * (zz - l1) - yz * yz AS mx, (xx - l1) * (zz - l1) - xz * xz AS my, (xx - l1) * (yy - l1) - xy * xy AS mz FROM roots3),
+trunks3 AS (SELECT cluster, n, CASE WHEN l1 > 0 THEN (l1 - greatest(l2, 0)) / l1 ELSE 0 END AS linearity, CASE WHEN p > 0 THEN sqrt(greatest(mz / (mx + my + mz), 0)) ELSE 1 END AS upright, n >= {least} AS enough FROM minors),
+trunks AS (SELECT *, enough AND linearity >= 0.55 AND upright >= 0.70 AS is_trunk FROM trunks3)"""
 
 
-_HULLS = """spots AS (SELECT DISTINCT tree_seed AS cluster, x, y FROM points WHERE classification = 7),
-turns AS (SELECT a.cluster, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy, min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS least,
+def _hulls(name: str, spots: str) -> str:
+    """A table of hull areas from the different places (cluster, x, y) that ``spots`` gives."""
+    return f"""{name}_spots AS ({spots}),
+{name}_turns AS (SELECT a.cluster, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy, min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS least,
     max(CASE WHEN (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND ((c.x - a.x) * (c.x - b.x) > 0 OR (c.y - a.y) * (c.y - b.y) > 0) THEN 1 ELSE 0 END) AS beyond
-  FROM spots a JOIN spots b ON a.cluster = b.cluster AND (a.x <> b.x OR a.y <> b.y) JOIN spots c ON a.cluster = c.cluster GROUP BY a.cluster, a.x, a.y, b.x, b.y),
-hulls AS (SELECT cluster, sum(ax * byy - bx * ay) / 2 AS area FROM turns WHERE least >= 0 AND beyond = 0 GROUP BY cluster)"""
+  FROM {name}_spots a JOIN {name}_spots b ON a.cluster = b.cluster AND (a.x <> b.x OR a.y <> b.y) JOIN {name}_spots c ON a.cluster = c.cluster GROUP BY a.cluster, a.x, a.y, b.x, b.y),
+{name} AS (SELECT cluster, nullif(sum(ax * byy - bx * ay) / 2, 0) AS area FROM {name}_turns WHERE least >= 0 AND beyond = 0 GROUP BY cluster)"""
+
+
+def _report(src: str) -> str:
+    """Tables that end in report: what the shrub filter looks at."""
+    return f"""lowest AS (SELECT cluster, arg_min(x, (z, point_id)) AS qx, arg_min(y, (z, point_id)) AS qy, min(z) AS low_z, max(z) - min(z) AS height FROM {src} GROUP BY cluster),
+levels AS (SELECT cluster, avg(g.z) AS ground_z FROM lowest JOIN points g ON g.classification = 1 AND abs(g.x - qx) <= 0.75 AND abs(g.y - qy) <= 0.75 GROUP BY cluster),
+section AS (SELECT s.* FROM {src} s JOIN levels USING (cluster) WHERE s.z BETWEEN ground_z AND ground_z + 0.4::DOUBLE),
+counts AS (SELECT cluster, count(*) AS base_n FROM section GROUP BY cluster),
+{_hulls('bases', 'SELECT DISTINCT cluster, x, y FROM section')},
+{_hulls('wholes', f'SELECT DISTINCT cluster, x, y FROM {src}')},
+widths AS (SELECT cluster, ground_z, low_z, height, coalesce(base_n, 0) AS base_n, bases.area / pi() AS base_width, wholes.area / pi() AS width
+  FROM lowest LEFT JOIN levels USING (cluster) LEFT JOIN counts USING (cluster) LEFT JOIN bases USING (cluster) LEFT JOIN wholes USING (cluster)),
+report AS (SELECT *, coalesce(base_n >= 3 AND base_width <= 5 AND abs(low_z - ground_z) <= 0.4::DOUBLE AND width > 0 AND height / width >= 0.6::DOUBLE AND height / width <= 1.4::DOUBLE, FALSE) AS is_shrub FROM widths)"""
+
+
+_SEEDED = "mine AS (SELECT point_id, x, y, z, tree_seed AS cluster FROM points WHERE classification = 7)"
+
+
+@_query(f"{_SEEDED}, {_axes('mine', 30)} SELECT cluster, n, round(linearity, 6) AS linearity, round(upright, 6) AS upright, is_trunk FROM trunks")
+def partial_trunks(spark, sf_dir):
+    own = _trees(spark, sf_dir).withColumn("cluster", F.col("tree_seed"))
+    return shapes.partial_trunks(own, min_points=30).select("cluster", "n", F.round("linearity", 6).alias("linearity"), F.round("upright", 6).alias("upright"), "is_trunk")
 
 
-@_query(f"{_HULLS} SELECT DISTINCT spots.cluster, CASE WHEN area > 0 THEN round(area, 6) END AS area FROM spots LEFT JOIN hulls USING (cluster)")
+@_query(f"{_SEEDED}, {_hulls('hulls', 'SELECT DISTINCT cluster, x, y FROM mine')} SELECT DISTINCT mine.cluster, round(area, 6) AS area FROM mine LEFT JOIN hulls USING (cluster)")
 def hull_areas(spark, sf_dir):
     own = _trees(spark, sf_dir).withColumn("cluster", F.col("tree_seed"))
     return shapes.hull_areas(own).select("cluster", F.round("area", 6).alias("area"))
 
 
-@_query()
+@_query(f"{_SEEDED}, {_report('mine')} SELECT cluster, round(ground_z, 6) AS ground_z, low_z, height, base_n, round(base_width, 6) AS base_width, round(width, 6) AS width, is_shrub FROM report")
 def shrub_filter(spark, sf_dir):
     own = _trees(spark, sf_dir).withColumn("cluster", F.col("tree_seed"))
     found = shapes.shrub_report(own, _ground(spark, sf_dir))
     return found.select("cluster", F.round("ground_z", 6).alias("ground_z"), "low_z", "height", "base_n", F.round("base_width", 6).alias("base_width"), F.round("width", 6).alias("width"), "is_shrub")
 
 
-@_query()
+@_query(
+    f"""{_components('xy', 2)}, mine AS (SELECT point_id, x, y, z, cluster FROM member), {_report('mine')}, {_axes('mine', 100)},
+passing AS (SELECT cluster, CAST(row_number() OVER (ORDER BY cluster) - 1 AS INT) AS shrub FROM report JOIN trunks USING (cluster) WHERE is_shrub AND NOT is_trunk)
+SELECT p.point_id, coalesce(shrub, -1) AS shrub_id FROM points p LEFT JOIN mine USING (point_id) LEFT JOIN passing USING (cluster) WHERE classification <> 1""",
+    recursive=True,
+)
 def shrub_instances(spark, sf_dir):
     own = fixtures.points(spark, sf_dir).where("classification <> 1").withColumn("tree_id", F.when(F.col("classification") == 2, F.lit(UNASSIGNED)).otherwise(F.col("tree_seed")))
     return shapes.shrubs(own, _ground(spark, sf_dir)).select("point_id", "shrub_id")
 
 
+@_query("SELECT classification, count(*) AS n, min(z) AS low, max(z) AS high, CAST(ceil(count(*) / 100) AS BIGINT) AS chunks FROM points GROUP BY classification")
+def view_limits(spark, sf_dir):
+    return views.colour_limits(fixtures.points(spark, sf_dir), "z", "classification", 100)
+
+
 _GAPS = """gaps AS (SELECT * FROM (SELECT *, lead(x) OVER w AS ax, lead(y) OVER w AS ay, lead(z) OVER w AS az FROM
   (SELECT point_id, x, y, z, floor(x * 4.0::DOUBLE) AS cx, floor(y * 4.0::DOUBLE) AS cy FROM points WHERE classification = 7) WINDOW w AS (PARTITION BY cx, cy ORDER BY z, point_id)) WHERE az IS NOT NULL),
 ordered AS (SELECT az - z AS gap, row_number() OVER (ORDER BY az - z) - 1 AS k, count(*) OVER () AS n FROM gaps),
@@ -436,6 +476,11 @@ def scatter_labels(spark, sf_dir):
     return labels.scattered(own, _seeds(_trees(spark, sf_dir)), "label").select("point_id", "label")
 
 
+@_query("SELECT tree_seed AS label, arg_min(point_id, (z, point_id)) AS lowest, max(z) - min(z) AS height FROM points WHERE classification = 7 GROUP BY tree_seed")
+def lowest_points(spark, sf_dir):
+    return shapes.lowest_points(_seeds(_trees(spark, sf_dir)), "label").select("label", F.col("low.point_id").alias("lowest"), "height")
+
+
 @_query()
 def coarse_groups(spark, sf_dir):
     return pipeline.coarse_groups(_trees(spark, sf_dir), 4, 0.5).groupBy("group").agg(F.count("*").alias("n"))

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..operators import clusters, ground, labels, nearest, rays, shapes, stems, tiles, woodleaf
 from ..schema import UNASSIGNED, Config
-from .scratch import written
+from .scratch import fresh_path, written
 
 Extractor = Callable[[DataFrame, DataFrame, Config], tuple[DataFrame, DataFrame]]
-SINGLE_PASS, GROUP_POINTS = 10_000_000, 4_000_000
+SINGLE_PASS, GROUP_POINTS, GROUPS_AT_ONCE = 10_000_000, 4_000_000, 8
 
 
 def ground_of(points: DataFrame, trees: DataFrame, config: Config) -> DataFrame:
@@ -59,22 +62,35 @@ def coarse_groups(points: DataFrame, n_groups: int | None = None, voxel_size: fl
     return nearest.upsampled(points, grouped, "group", voxel_size)
 
 
-def segmented_groups(points: DataFrame, config: Config, extract: Extractor = stems.extracted, n_groups: int | None = None, min_tree_points: int = 5000) -> DataFrame:
-    """The large path: groups of tree points, each segmented within its box, ids made different across groups."""
+def segmented_groups(points: DataFrame, config: Config, extract: Extractor = stems.extracted, n_groups: int | None = None, min_tree_points: int = 5000, at_once: int = GROUPS_AT_ONCE) -> DataFrame:
+    """The large path: groups of tree points, each segmented within its box, ids made different across groups.
+
+    A group needs only its own part of the gathered points, so up to ``at_once``
+    groups run side by side; each writes its result into the folder of its group.
+    """
+    spark = points.sparkSession
     trees = labels.tree_points(points, config.tree_label)
-    grouped = written(coarse_groups(trees, n_groups), "grouped")
+    grouped = written(coarse_groups(trees, n_groups), "grouped", "group")
     boxes = tiles.group_boxes(grouped, "group")
-    near = written(tiles.gathered(points, boxes, "group"), "gathered")
-    out = None
-    for row in boxes.select("group").orderBy("group").collect():
-        own = near.where(F.col("group") == row["group"]).drop("group")
+    near = written(tiles.gathered(points, boxes, "group"), "gathered", "group")
+    names = [r["group"] for r in grouped.select("group").distinct().orderBy("group").collect()]
+    none = {"tree_id": F.lit(UNASSIGNED), "shrub_id": F.lit(UNASSIGNED), "wood_leaf": F.lit(UNASSIGNED).cast("byte")}
+    if not names:
+        return trees.withColumns(none)
+    folder = fresh_path(spark, "groups")
+
+    def run(group: int) -> DataFrame:
+        own = near.where(F.col("group") == group).drop("group")
         own_trees = labels.tree_points(own, config.tree_label)
         found = segmented_trees(own_trees, ground_of(own, own_trees, config), config, extract, min_tree_points)
-        mine = found.join(grouped.where(F.col("group") == row["group"]).select("point_id"), "point_id", "left_semi")
-        mine = written(postprocessed(mine, min_tree_points).withColumn("group", F.lit(row["group"])), "group")
-        out = mine if out is None else out.unionByName(mine)
-    if out is None:
-        return trees.withColumns({"tree_id": F.lit(UNASSIGNED), "shrub_id": F.lit(UNASSIGNED), "wood_leaf": F.lit(UNASSIGNED).cast("byte")})
+        mine = found.join(grouped.where(F.col("group") == group).select("point_id"), "point_id", "left_semi")
+        mine = postprocessed(written(mine, "group"), min_tree_points).select(*trees.columns, *none)
+        mine.write.option("compression", "zstd").parquet(f"{folder}/group={group}")
+        return mine
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(names)))) as pool:
+        schema = list(pool.map(inheritable_thread_target(spark)(run), names))[0].schema
+    out = spark.read.schema(schema.add("group", IntegerType())).parquet(folder)
     for name in ("tree_id", "shrub_id"):
         out = labels.offset_labels(out, "group", name)
     out = out.withColumn("wood_leaf", labels.wood_reset())
@@ -85,7 +101,9 @@ def segment(points: DataFrame, config: Config | None = None, extract: Extractor
     """All points with instance_id, species_id and wood_leaf (-1 where unassigned).
 
     Without a ground class the ground is estimated from the tree points; without
-    a tree class no point is a tree.
+    a tree class no point is a tree.  Rays come from the columns ray_x, ray_y and
+    ray_z, which must be finite, else with ``use_rays`` from the flight metadata;
+    the extraction gets them as columns of its points.
     """
     config = config or Config()
     none = {"instance_id": F.lit(UNASSIGNED), "species_id": F.lit(UNASSIGNED).cast("byte"), "wood_leaf": F.lit(UNASSIGNED).cast("byte")}
@@ -93,10 +111,8 @@ def segment(points: DataFrame, config: Config | None = None, extract: Extractor
     n = trees.count()
     if not n:
         return points.withColumns(none)
-    if config.use_rays and "ray_x" not in points.columns:
-        with_rays = rays.rays(points)
-        points = points if with_rays is None else written(with_rays, "rays")
-    flat = written(labels.centred(points), "centred")
+    with_rays = rays.checked(points) if "ray_x" in points.columns else rays.rays(rays.ray_columns(points)) if config.use_rays else None
+    flat = written(labels.centred(points if with_rays is None else with_rays.select(*points.columns, *(c for c in rays.RAY if c not in points.columns))), "centred")
     own = labels.tree_points(flat, config.tree_label)
     if n > single_pass:
         found = segmented_groups(flat, config, extract, max(2, math.ceil(n / GROUP_POINTS)), min_tree_points)

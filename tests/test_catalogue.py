@@ -37,7 +37,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"partial_trunks", "shrub_filter", "shrub_instances", "coarse_groups", "segment_summary"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"coarse_groups", "segment_summary"}
 
 
 def test_shuffled_rows_and_partitions_change_nothing(spark):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointmill.operators import densify, ground, nearest, rays, tiles, woodleaf
+from pointmill.operators import densify, ground, nearest, rays, stems, tiles, woodleaf
 from pointmill.plans import pipeline
 from pointmill.schema import Config
 from pointmill.sources import las, ply, treefile
@@ -71,6 +71,19 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(q, t.limit(0), 3).count() == 0
 
 
+def test_nearest_of_far_queries(spark):
+    rng = np.random.default_rng(8)
+    queries = np.vstack([rng.random((15, 2)) * 10, rng.random((10, 2)) * 10 + [5000, -3000]])
+    targets = np.vstack([rng.random((40, 2)) * 10, [[4000.0, -2500.0], [-70000.0, 9.0]]])
+    queries, targets = np.round(queries, 3), np.round(targets, 3)
+    q = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(queries)], "qid long, qx double, qy double")
+    t = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(targets)], "tid long, tx double, ty double")
+    found = {}
+    for r in nearest.nearest(q, t, 4).orderBy("qid", "rank").collect():
+        found.setdefault(r["qid"], []).append(r["tid"])
+    assert found == brute(queries, targets, 4)
+
+
 def test_box_mean_is_closed(spark, cloud):
     ground_points = cloud([(0.75, 0, 2), (0, -0.75, 4), (0.76, 0, 100)])
     q = spark.createDataFrame([(0, 0.0, 0.0), (1, 50.0, 50.0)], "qid long, qx double, qy double")
@@ -78,12 +91,22 @@ def test_box_mean_is_closed(spark, cloud):
 
 
 def test_densify(cloud):
-    column = [0.05 * i for i in range(6)] + [0.75 + 0.05 * i for i in range(6)]
-    found = densify.densified(cloud([(0, 0, z) for z in column])).where("not original").select("z").collect()
-    assert found and all(0.25 < r[0] < 0.75 for r in found)
-    assert densify.densified(cloud([(0, 0, 0.05 * i) for i in range(20)])).where("not original").count() == 0
+    heights = [0.0, 0.0625, 0.125, 0.1875, 0.6875, 0.75, 0.8125]
+    found = densify.densified(cloud([(0.1, 0.1, z) for z in heights]), max_vertical_gap=0.5, density_factor=4.0).where("not original")
+    assert sorted(r["z"] for r in found.select("z").collect()) == [0.25, 0.3125, 0.375, 0.4375, 0.5, 0.5625, 0.625]
+    assert densify.densified(cloud([(0.1, 0.1, 0.25 * i) for i in range(9)])).where("not original").count() == 0
     with pytest.raises(ValueError):
-        densify.densified(cloud([(0, 0, 0)]), density_factor=1)
+        densify.densified(cloud([(0, 0, 0)]), density_factor=0.5)
+
+
+def test_order_statistic_against_sorting(spark):
+    from pointmill.functions.ranking import order_statistic
+
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in np.round(rng.exponential(size=500), 2)] + [0.25] * 300
+    df = spark.createDataFrame([(v,) for v in values], "gap double").repartition(6)
+    for at in (0, 1, 199, 200, 400, 650, 799):
+        assert order_statistic(df, "gap", at) == sorted(values)[at]
 
 
 def test_densify_refuses_a_bad_spacing_only_where_it_counts(cloud):
@@ -113,12 +136,15 @@ HEAD = "x,y,z,radius,parent_id,section_id"
 
 def test_cylinders(spark, cloud, column, tmp_path):
     path = tmp_path / "trees.txt"
-    path.write_text(f"# comment\n{HEAD}\n0,0,0,0.1,-1,0, 0,0,1,0.1,0,0\n\n5,0,0,0.1,-1,0, 5,0,1,0.1,0,0\n")
+    path.write_text(f"# two trees\n\n{HEAD},age\n1,1,0,0.2,-1,0,7, 1,1,2,0.2,0,0,7, 3,1,2,0.1,1,0,7\n-4,0,1,0.3,-1,0,2, -4,3,1,0.3,0,0,2\n")
     segments = treefile.read_trees(spark, str(path))
-    assert segments.count() == 4
-    points = cloud([(0, 0, 0.5), (0.11, 0, 0.5), (0.2, 0, 0.5), (0, 0, 1.01), (5, 0, 0.5), (0, 0, -0.03), (0, 0, 0.5)], tree_id=[0, 0, 0, 0, 0, 1, -1])
-    assert column(woodleaf.wood_leaf(points, segments, 0.02), "wood_leaf") == [0, 0, 1, 0, 0, 1, -1]
-    assert column(woodleaf.wood_leaf(points, segments, 0.0), "wood_leaf") == [0, 1, 1, 1, 0, 1, -1]
+    assert segments.groupBy("tree_no").count().orderBy("tree_no").collect() == [(0, 3), (1, 2)]
+    inside = [(1, 1.15, 1), (2, 1, 2.08), (-4.25, 1.5, 1)]
+    near = [(1.22, 1, 1.5), (3.04, 1, 2), (-4, -0.04, 1.1)]
+    outside = [(1.3, 1, 1), (2, 1, 1.8), (-4, 4, 1)]
+    points = cloud(inside + near + outside + inside[:1], tree_id=[4] * 9 + [-1])
+    assert column(woodleaf.wood_leaf(points, segments, 0.05), "wood_leaf") == [0] * 6 + [1] * 3 + [-1]
+    assert column(woodleaf.wood_leaf(points, segments, 0.0), "wood_leaf") == [0] * 3 + [1] * 6 + [-1]
 
 
 @pytest.mark.parametrize("text", ["x,y,z\n0,0,0", HEAD, f"{HEAD}\n0,0,0,0.1,-1", f"{HEAD}\n0,0,nan,0.1,-1,0,0,0,1,0.1,0,0", f"{HEAD}\n0,0,0,0.1,-1,0,0,0,1,0.1,0.5,0"])
@@ -137,17 +163,17 @@ def test_bad_forests(spark, rows):
 
 
 def test_wood_spreads_until_stable(cloud, column):
-    xyz = [(0, 0, 0.1 * i) for i in range(8)]
-    points = cloud(xyz, tree_id=[0] * 8, wood_leaf=[0, 0, 0, 1, 1, 1, 1, 1])
-    level = cloud([(0, 0, 0)])
-    assert column(woodleaf.propagated(points, level, 1.35, 0.35, 3), "wood_leaf") == [0] * 8
-    assert column(woodleaf.propagated(points, level, 0.45, 0.35, 3), "wood_leaf") == [0] * 5 + [1] * 3
-    assert column(woodleaf.propagated(points, level, 1.35, 0.05, 3), "wood_leaf") == [0, 0, 0, 1, 1, 1, 1, 1]
+    xyz = [(0.25 * i, 1.0, 0.125 * i) for i in range(9)]
+    points = cloud(xyz, tree_id=[2] * 9, wood_leaf=[0, 0] + [1] * 7)
+    level = cloud([(1, 1, -0.5)])
+    assert column(woodleaf.propagated(points, level, 2.0, 0.625, 2), "wood_leaf") == [0] * 9
+    assert column(woodleaf.propagated(points, level, 1.0, 0.625, 2), "wood_leaf") == [0] * 5 + [1] * 4
+    assert column(woodleaf.propagated(points, level, 2.0, 0.2, 2), "wood_leaf") == [0, 0] + [1] * 7
 
 
 def test_wood_does_not_cross_trees(cloud, column):
-    points = cloud([(0, 0, 0)] * 7, tree_id=[0, 0, 0, 1, 0, -1, 2], wood_leaf=[0, 0, 0, 1, 1, -1, -1])
-    assert column(woodleaf.propagated(points, cloud([(0, 0, 0)]), 1.35, 0.3, 3), "wood_leaf") == [0, 0, 0, 1, 0, -1, -1]
+    points = cloud([(2, 3, 0.5)] * 6, tree_id=[5, 5, 8, 5, -1, 8], wood_leaf=[0, 0, 1, 1, -1, -1])
+    assert column(woodleaf.propagated(points, cloud([(2, 2, 0)]), 1.0, 0.25, 2), "wood_leaf") == [0, 0, 1, 0, -1, -1]
     with pytest.raises(ValueError):
         woodleaf.propagated(points, cloud([(0, 0, 0)]).limit(0))
 
@@ -178,10 +204,67 @@ def test_las_round_trip(spark, tmp_path):
     assert las.inspected(spark, str(tmp_path / "none.las")).collect()[0]["readable"] is False
 
 
+def test_las_by_ranges_with_extra_fields(spark, cloud, tmp_path, monkeypatch):
+    n = 1000
+    xyz = [(1000 + 0.25 * i, -5.5 + 0.125 * (i % 40), 0.001 * i) for i in range(n)]
+    points = cloud(xyz, classification=[i % 9 for i in range(n)], gps_time=[0.5 * i for i in range(n)], point_source_id=[i % 3 for i in range(n)], scan_angle_deg=[0.6 * (i % 20) for i in range(n)], instance_id=[i % 7 - 1 for i in range(n)])
+    target = las.save_ids(points.repartition(4), str(tmp_path / "new" / "b.las"))
+    reader = las.LasReader([str(target)], las.read_head(str(target))[1])
+    monkeypatch.setattr(las, "RANGE", 300)
+    monkeypatch.setattr(las, "BATCH", 128)
+    parts = reader.partitions()
+    assert [p.end - p.begin for p in parts] == [300, 300, 300, 100]
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    whole = [r.asDict() for r in las.read_las(spark, str(target)).orderBy("point_id").collect()]
+    assert rows == whole and [r["tree_ids"] for r in whole] == [i % 7 - 1 for i in range(n)]
+    for r, (x, y, z) in zip(whole, xyz):
+        assert (r["x"], r["y"], r["z"]) == pytest.approx((x, y, z), abs=1e-9)
+        assert r["scan_angle_deg"] == pytest.approx(0.6 * (r["point_id"] % 20)) and r["classification"] == r["point_id"] % 9
+    las.save_ids(points.limit(0), str(tmp_path / "new" / "c.las"))
+    both = las.read_las(spark, str(tmp_path / "new"))
+    assert both.count() == n and las.read_las(spark, str(tmp_path / "new" / "c.las")).count() == 0
+    with pytest.raises(ValueError):
+        las.read_las(spark, str(tmp_path / "d.laz")).count()
+    with pytest.raises(ValueError):
+        las.write_points(cloud([(0, 0, 0), (1e9, 0, 0)]), str(tmp_path / "e.las"))
+
+
+def test_command_line_of_a_small_cloud(spark, cloud, tmp_path, capsys):
+    from pointmill.plans import cli
+
+    poles, soil = grove([(0, 0)])
+    points = cloud(poles + soil, classification=[7] * len(poles) + [1] * len(soil), instance_id=[0] * (len(poles) + len(soil)))
+    source, config = str(tmp_path / "in.las"), tmp_path / "c.json"
+    las.write_points(points, source)
+    config.write_text(json.dumps(SETTINGS))
+    assert cli.main(["--input-path", source, "--config-path", str(config), "--plot"]) == 0
+    found = las.read_las(spark, str(tmp_path / "in_segmented.las"))
+    assert found.count() == len(poles) + len(soil) and "tree_ids" in found.columns
+    with pytest.raises(SystemExit):
+        cli.main(["--input-path", source, "--labels-path", "x.ply"])
+
+
+def test_views(cloud):
+    from pointmill.operators import views
+
+    points = cloud([(0, 0, i) for i in range(4)], height=[0.5, float("nan"), 9.0, float("inf")], tree=[1, 1, 2, 2])
+    row = views.colour_limits(points, "height", buffer_size=3).collect()[0]
+    assert tuple(row) == (4, 0.5, 9.0, 2)
+    assert {r["tree"]: r["high"] for r in views.colour_limits(points, "height", "tree").collect()} == {1: 0.5, 2: 9.0}
+    assert [views.checked_view(points, f) for f in ("tree", "height", None)] == ["tab20", "viridis", "green"]
+    for bad in (lambda: views.checked_view(points, "none"), lambda: views.checked_view(points, "z", 0), lambda: views.checked_view(points.drop("z"), None)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_scan_angles_by_name(spark):
     df = spark.createDataFrame([(1.0, 2, 1000)], "gps_time double, point_source_id int, scan_angle int")
     assert rays.ray_columns(df).collect()[0]["scan_angle_deg"] == pytest.approx(6.0)
     assert "scan_angle_deg" not in rays.ray_columns(df.drop("gps_time")).columns
+    both = df.withColumns({"scan_angle_rank": F.lit(4), "scan_angle_deg": F.lit(5.0)})
+    with pytest.raises(ValueError):
+        rays.ray_columns(both)
+    assert rays.ray_columns(both, "scan_angle_rank").collect()[0]["scan_angle_deg"] == 4.0
 
 
 def test_save_ids(spark, cloud, tmp_path):
@@ -189,16 +272,114 @@ def test_save_ids(spark, cloud, tmp_path):
     assert sorted(r["tree_ids"] for r in spark.read.parquet(str(target)).collect()) == [-1, 4]
 
 
-def test_segment_of_a_trunk_and_ground(cloud):
-    rng = np.random.default_rng(42)
-    ring = [(0.18 * math.cos(a), 0.18 * math.sin(a), z) for a in np.linspace(0, 2 * math.pi, 24, endpoint=False) for z in np.linspace(0, 4, 40)]
-    crown = (rng.normal(size=(200, 3)) * 0.4 + [0, 0, 4.5]).tolist()
-    soil = [(x, y, 0.0) for x in (-2, 0, 2) for y in (-2, 0, 2)]
-    points = cloud(ring + crown + soil, classification=[7] * (len(ring) + len(crown)) + [1] * len(soil))
-    found = pipeline.segment(points, Config(ground_label=1, tree_label=7), min_tree_points=500).orderBy("point_id").collect()
-    assert sum(r["instance_id"] == 0 for r in found) > 960
-    assert {0, 1} <= {r["wood_leaf"] for r in found}
-    assert all(r["instance_id"] == -1 for r in found[-9:])
+def grove(places, height=5.0):
+    """Square poles with a branch each on flat ground: points and classes."""
+    poles, soil = [], []
+    for px, py in places:
+        for k in range(int(height / 0.125)):
+            poles += [(px + x, py + y, 0.125 * k) for x in (-0.125, 0.125) for y in (-0.125, 0.125)]
+        poles += [(px + 0.25 * i, py, 0.75 * height) for i in range(1, 7)]
+        soil += [(px + x, py + y, 0.0) for x in (-2.5, -1, 1, 2.5) for y in (-2.5, 0.5, 2.5)]
+        soil += [(px + 0.5, py, 0.0), (px + 1.0, py + 0.1, 0.0), (px + 1.25, py - 0.1, 0.0)]
+    return poles, soil
+
+
+SETTINGS = {"ground_label": 1, "tree_label": 7, "wood_distance": 0.1, "girth_height_ratio": 0.35}
+
+
+def test_segment_of_poles_on_the_ground(cloud):
+    poles, soil = grove([(0, 0), (12, 4)])
+    points = cloud(poles + soil, classification=[7] * len(poles) + [1] * len(soil))
+    found = pipeline.segment(points, Config(**SETTINGS), min_tree_points=100).orderBy("point_id").collect()
+    half = len(poles) // 2
+    assert {r["instance_id"] for r in found[:half]} == {0} and {r["instance_id"] for r in found[half : len(poles)]} == {1}
+    assert {0, 1} <= {r["wood_leaf"] for r in found[: len(poles)]}
+    assert {(r["instance_id"], r["species_id"], r["wood_leaf"]) for r in found[len(poles) :]} == {(-1, -1, -1)}
+
+
+def test_settings_of_the_extraction(cloud):
+    poles, soil = grove([(0, 0), (40, 0)])
+    trees, ground = cloud(poles), cloud(soil)
+    plain = {(r["tree_no"], r["seg_no"]): r["radius"] for r in stems.extracted(trees, ground, Config())[1].collect()}
+    assert {k for k, _ in plain} == {0, 1} and max(plain.values()) > 0.1
+    thin = stems.extracted(trees, ground, Config(max_diameter=0.1))[1].collect()
+    assert max(r["radius"] for r in thin) == 0.05
+    drawn = stems.extracted(trees, ground, Config(global_taper=0.02, global_taper_factor=0.5))[1]
+    ends = {r["tree_no"]: r["max(z)"] for r in drawn.groupBy("tree_no").agg({"z": "max"}).collect()}
+    for r in drawn.collect():
+        assert r["radius"] == pytest.approx(0.5 * plain[r["tree_no"], r["seg_no"]] + 0.01 * (ends[r["tree_no"]] - r["z"]))
+    square = stems.extracted(cloud(poles + [(90, 0, 0)]), ground, Config(grid_width=20.0))[0].where("label >= 0")
+    assert square.agg(F.min("x")).head()[0] > 30
+    with pytest.raises(ValueError):
+        stems.extracted(trees, ground, Config(gravity_factor=0.5))
+
+
+def test_segment_with_the_files_of_an_earlier_extraction(spark, cloud, tmp_path):
+    poles, soil = grove([(0, 0), (12, 4)])
+    half = len(poles) // 2
+    colours = np.zeros(len(poles), np.dtype([("red", "u1"), ("green", "u1"), ("blue", "u1")]))
+    colours["red"][:half], colours["blue"][half:] = 9, 200
+    body = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(poles)}\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n".encode()
+    (tmp_path / "c.ply").write_bytes(body + colours.tobytes())
+    points = cloud(poles + soil, classification=[7] * len(poles) + [1] * len(soil))
+    middle = points.agg(*(F.avg(a) for a in "xyz")).head()
+    line = ", ".join(f"{0 - middle[0]},{0 - middle[1]},{z - middle[2]},0.2,{p},0" for z, p in ((0, -1), (5, 0)))
+    (tmp_path / "t.txt").write_text(f"{HEAD}\n{line}\n")
+    extract = stems.from_files(str(tmp_path / "c.ply"), str(tmp_path / "t.txt"))
+    found = pipeline.segment(points, Config(**SETTINGS), extract, min_tree_points=100).orderBy("point_id").collect()
+    first, second = {r["instance_id"] for r in found[:half]}, {r["instance_id"] for r in found[half : len(poles)]}
+    assert {*first, *second} == {0, 1} and len(first) == len(second) == 1
+    assert {r["wood_leaf"] for r in found[half : len(poles)]} == {1} and 0 in {r["wood_leaf"] for r in found[:half]}
+    with pytest.raises(ValueError):
+        pipeline.segment(points.where("point_id > 3"), Config(**SETTINGS), extract)
+
+
+def test_groups_of_the_large_path_against_the_small_one(cloud):
+    places = [(0, 0), (60, 0), (0, 60), (60, 60)]
+    poles, soil = grove(places)
+    points = cloud(poles + soil, classification=[7] * len(poles) + [1] * len(soil))
+    flat = points.withColumns({a: F.col(a).cast("float") for a in "xyz"})
+    found = pipeline.segmented_groups(flat, Config(**SETTINGS), n_groups=4, min_tree_points=100).orderBy("point_id").collect()
+    size = len(poles) // 4
+    ids = [{r["tree_id"] for r in found[size * k : size * (k + 1)]} for k in range(4)]
+    assert all(len(x) == 1 for x in ids) and set().union(*ids) == {0, 1, 2, 3}
+    assert len(found) == len(poles) and {r["shrub_id"] for r in found} == {-1}
+    whole = pipeline.segment(points, Config(**SETTINGS), min_tree_points=100, single_pass=10).where("classification = 7")
+    assert whole.select("instance_id").distinct().count() == 4
+    with pytest.raises(ValueError, match="refused"):
+        pipeline.segmented_groups(flat, Config(**SETTINGS), lambda *_: (_ for _ in ()).throw(ValueError("refused")), n_groups=2)
+
+
+def test_postprocessing_of_a_group(cloud, column):
+    close = [(0.0, 0, 0.1 * i) for i in range(12)] + [(0.25, 0, 0.1 * i) for i in range(10)] + [(9, 9, 0.1 * i) for i in range(4)]
+    ids = [0] * 12 + [1] * 10 + [2] * 4
+    points = cloud(close * 5, tree_id=ids * 5, shrub_id=[-1] * 130)
+    assert column(pipeline.postprocessed(points, 30), "tree_id") == ([0] * 22 + [-1] * 4) * 5
+    with_shrub = points.withColumn("shrub_id", F.when(F.col("point_id") == 4, F.lit(0)).otherwise(F.lit(-1)))
+    assert column(pipeline.postprocessed(with_shrub, 30), "tree_id") == ids * 5
+
+
+def test_rays_of_a_segmentation_are_checked(cloud):
+    poles, soil = grove([(0, 0)])
+    points = cloud(poles + soil, classification=[7] * len(poles) + [1] * len(soil))
+    with pytest.raises(ValueError):
+        pipeline.segment(points.withColumn("ray_x", F.lit(1.0)), Config(**SETTINGS))
+    rays_of = lambda z: points.withColumns({"ray_x": F.lit(0.0), "ray_y": F.lit(0.0), "ray_z": z})
+    with pytest.raises(ValueError):
+        pipeline.segment(rays_of(F.when(F.col("point_id") == 3, F.lit(float("nan"))).otherwise(F.lit(5.0))), Config(**SETTINGS))
+    seen = []
+
+    def extract(points, ground, config):
+        seen.append({"ray_x", "ray_y", "ray_z"} <= set(points.columns))
+        return stems.extracted(points, ground, config)
+
+    metadata = {"gps_time": F.col("point_id") / 100, "point_source_id": F.lit(1), "scan_angle_rank": F.lit(9)}
+    for own in (rays_of(F.lit(5.0)), points.withColumns(metadata)):
+        found = pipeline.segment(own, Config(**SETTINGS, use_rays=True), extract, min_tree_points=100)
+        assert found.columns == [*own.columns, "instance_id", "species_id", "wood_leaf"]
+    assert seen == [True, True]
+    with pytest.raises(ValueError):
+        pipeline.segment(points.withColumns(metadata | {"scan_angle_deg": F.lit(9.0)}), Config(**SETTINGS, use_rays=True))
 
 
 def test_segment_without_trees(cloud):
