@@ -49,6 +49,8 @@ BAND_CUTS = (0.5, 0.75, 0.9, 0.96, 0.985, 0.995)
 BLOCK_BYTES, CHUNK, AT_ONCE, KEPT_QUERIES = 1 << 21, 1024, 64, 20_000
 #: Vectors that a query visits at least, as a multiple of those it asks for.
 FLOOR = 16
+#: Halvings that find the score which only the asked number of vectors reach.
+ROUNDS = 12
 PLACED = "first long, own long, vector binary, cell int"
 _GRID = np.linspace(-9, 9, 4001)
 _LOG_TAIL = np.log([0.5 * math.erfc(x / math.sqrt(2)) for x in _GRID])
@@ -179,36 +181,38 @@ class Router:
         self.index, self.layout, self.top, self.target = index, layout, top, target
         one, two = index.books
         self.live = np.flatnonzero(layout.counts)
-        self.n = layout.counts[self.live]
-        self.band, self.a, self.b = self.live // (len(one) * len(two)), self.live // len(two) % len(one), self.live % len(two)
+        self.n, self.sizes = layout.counts[self.live].astype(float), layout.counts.tolist()
+        self.a, self.b = self.live // len(two) % len(one), self.live % len(two)
+        self.one_spread, self.two_spread = index.spreads[0][self.a], index.spreads[1][self.b]
+        self.per_length = 1 / index.lengths[self.live // (len(one) * len(two))]
 
     def visited(self, query: np.ndarray) -> np.ndarray:
         """Cells, in ascending order, that should hold ``target`` of the query's ``top`` nearest."""
-        index, counts = self.index, self.layout.counts
+        index = self.index
         one, two = index.books
         half = one.shape[1]
         unit = units(query[None, :])[0][0]
         near_one, near_two = one @ unit[:half], two @ unit[half:]
-        mean = near_one[self.a] + near_two[self.b]
-        spread = np.sqrt((unit[:half] @ unit[:half]) * index.spreads[0][self.a] + (unit[half:] @ unit[half:]) * index.spreads[1][self.b]) + 1e-12
-        size = 1 / index.lengths[self.band]
+        spread = np.sqrt((unit[:half] @ unit[:half]) * self.one_spread + (unit[half:] @ unit[half:]) * self.two_spread) + 1e-12
+        begin, slope = -(near_one[self.a] + near_two[self.b]) / spread, self.per_length / spread
 
-        def expected(score: float, own=slice(None)) -> np.ndarray:
-            return self.n[own] * np.exp(np.interp((score * size[own] - mean[own]) / spread[own], _GRID, _LOG_TAIL))
+        def expected(score: float, n: np.ndarray, begin: np.ndarray, slope: np.ndarray) -> np.ndarray:
+            return n * np.exp(np.interp(score * slope + begin, _GRID, _LOG_TAIL))
 
         high = 1.5 * float(index.lengths.max())
-        low, own = -high, np.arange(len(self.live))
-        for _ in range(16):
+        low, own = -high, (self.n, begin, slope)
+        for _ in range(ROUNDS):
             middle = (low + high) / 2
-            hits = expected(middle, own)
+            hits = expected(middle, *own)
             if hits.sum() > self.top + 1:
-                low, own = middle, own[hits > 1e-6]
+                low, keep = middle, hits > 1e-6
+                own = tuple(x[keep] for x in own)
             else:
                 high = middle
-        table = np.zeros(len(counts))
-        table[self.live] = expected(low)
+        table = np.zeros(len(self.sizes))
+        table[self.live] = expected(low, self.n, begin, slope)
         wanted, floor = self.target * float(table.sum()), FLOOR * (self.top + 1)
-        table, sizes, taken, met, seen = table.tolist(), counts, [], 0.0, 0
+        table, sizes, taken, met, seen = table.tolist(), self.sizes, [], 0.0, 0
         width, depth = len(two), len(one)
         for band, a, b in pairs_in_order(near_one, near_two, low / index.lengths):
             cell = (band * depth + a) * width + b
