@@ -2,8 +2,8 @@
 
 In a model none of whose pieces holds a white-space marker after another
 character, no piece reaches from one marked word (a run of markers with what
-follows) into the next.  So each distinct marked word of the corpus is segmented,
-and decoded, once, and the ids are joined back by position.  A model without that
+follows) into the next.  So each distinct marked word of the corpus is segmented
+once, and the ids are joined back by position; a run decodes them word by word.  A model without that
 property is refused.
 
 1. Every text becomes numbers: the places of its marked words in the word list
@@ -46,7 +46,7 @@ MARK = "▁"
 RUN_CHARS = 1 << 23
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 CODED = "run long, bucket int, size int, ids array<long>, counts array<int>, packed binary"
-FOUND = "of long, bucket int, ids binary, decoded binary"
+FOUND = "of long, bucket int, found binary"
 OUT = "doc_id long, n_tokens long, ids string, decoded string"
 #: Bytes of text for which there is a bucket of words, and the fewest buckets.
 PER_BUCKET, LEAST_BUCKETS = 1 << 25, 16
@@ -61,7 +61,7 @@ class Numbered(dict):
 
 
 class Segmenter:
-    """Ids, as decimal text, and decoded text of marked words."""
+    """Segments marked words."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -71,13 +71,13 @@ class Segmenter:
         if crossing:
             raise ValueError(f"pieces such as {crossing[0]!r} cross a white-space marker")
 
-    def found(self, words: list[str]) -> list[tuple[str, str]]:
-        """Both of each word."""
+    def found(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word."""
         ids = self.model.encode(words, num_threads=1)
         for i, word in enumerate(words):
             if not word:  # a marker alone, at the end of a text; the library encodes an empty text to nothing
                 ids[i] = [self.model.piece_to_id(MARK)]
-        return [(",".join(map(str, own)), back) for own, back in zip(ids, self.model.decode(ids, num_threads=1) if ids else [])]
+        return ids
 
 
 def chunks(text: str) -> list[str]:
@@ -112,6 +112,20 @@ def unpacked(blob: bytes, n: int) -> list[str]:
     return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([4 * n, *ends], ends)]
 
 
+def packed_ids(ids: list[list[int]]) -> bytes:
+    """Lists of ids as one compressed value: their lengths, then all ids."""
+    sizes = np.array([len(x) for x in ids], "<u4")
+    return zlib.compress(sizes.tobytes() + np.array([i for x in ids for i in x], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_ids(blob: bytes, n: int) -> list[list[int]]:
+    """The n lists of ``packed_ids``."""
+    data = zlib.decompress(blob)
+    ends = np.cumsum(np.frombuffer(data, "<u4", n)).tolist()
+    ids = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=4 * n).reshape(4, -1).T).view("<u4").ravel().tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Run:
     """A stretch of texts as numbers, with its words."""
 
@@ -167,7 +181,7 @@ def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col:
     """
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, at = _segmenter(model_path), {}, None  # known: a bucket's words with ids and decoded text
+        model, known, at = _segmenter(model_path), {}, None  # known: a bucket's words with their ids
         for batch in batches:
             for run, bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if bucket != at:
@@ -175,15 +189,15 @@ def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col:
                 words = unpacked(blob, size)
                 new = [w for w in words if w not in known]
                 known.update(zip(new, model.found(new)))
-                both = [known[w] for w in words]
-                columns = [pa.array([run], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([packed([x[k] for x in both])], pa.binary()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["of", "bucket", "ids", "decoded"])
+                columns = [pa.array([run], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed_ids([known[w] for w in words])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["of", "bucket", "found"])
 
     def joined(texts: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
         order = np.argsort(found.column("bucket").to_numpy())
         sizes = {r["bucket"]: r["size"] for r in texts.select(["bucket", "size"]).to_pylist()}
-        ids, decoded = ([x for r in order for x in unpacked(found.column(c)[r].as_py(), sizes[found.column("bucket")[r].as_py()])] for c in ("ids", "decoded"))
+        lists = [x for r in order for x in unpacked_ids(found.column("found")[r].as_py(), sizes[found.column("bucket")[r].as_py()])]
+        ids, decoded = [",".join(map(str, x)) for x in lists], _segmenter(model_path).model.decode(lists, num_threads=1) if lists else []
         (own,) = texts.filter(pa.compute.equal(texts.column("bucket"), -1)).to_pylist()
         planes = np.frombuffer(zlib.decompress(own["packed"]), np.uint8).reshape(4, -1)
         numbers, at = np.ascontiguousarray(planes.T).view("<u4").ravel().tolist(), 0
