@@ -234,12 +234,12 @@ def near_duplicates(docs: DataFrame, least: float, size: int, draws: int, kept:
         two = sequences.select(F.col("doc_id").alias("dst"), F.col("sequence").alias("second"))
         return pairs.join(one, "src").join(two, "dst").select("src", "dst", "first", "second").mapInArrow(verify, "src long, dst long")
 
-    maps: list[DataFrame] = []  # from ids to components, then from components to larger ones
+    maps: list[DataFrame] = []  # the components so far, at most one table
 
-    def of(rows: DataFrame, name: str) -> DataFrame:
-        """The column's ids replaced by their components so far."""
-        for known in maps:
-            to = known.select(F.col("id").alias(name), F.col("component").alias("to__"))
+    def of(rows: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+        """The column's ids replaced by their components so far, or by those of another table."""
+        for table in maps if known is None else [known]:
+            to = table.select(F.col("id").alias(name), F.col("component").alias("to__"))
             rows = rows.join(to, name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
         return rows
 
@@ -251,7 +251,14 @@ def near_duplicates(docs: DataFrame, least: float, size: int, draws: int, kept:
         edges = of(of(proofs[-1], "src"), "dst").where("src <> dst").distinct()
         edges = written(edges, "links")
         if not edges.isEmpty():
-            maps.append(connected(edges))
+            onward = connected(edges)
+            if maps:
+                before = maps.pop()
+                moved = of(before.select("id", "component"), "component", onward).select("id", "component")
+                maps.append(written(moved.unionByName(onward.join(before, "id", "left_anti").select("id", "component")), "components"))
+                dropped(before, onward)
+            else:
+                maps.append(onward)
         dropped(edges)
 
     def block(table: pa.Table) -> pa.Table:
