@@ -18,6 +18,12 @@ All three kinds of lists travel packed: a run's numbers as one row, its words an
 what was found for them as one row for each bucket.  The number of buckets grows
 with the words, so that a bucket's distinct words fit a task.
 
+Numbers and words take one shuffle, by ``key``, which both steps read: words to the
+task of their bucket, numbers to the one where what was found for their run will
+come.  So nothing lies on the disk twice.  Should a lost part be made again from
+texts that changed or came in another order, the marks of the lists differ, and
+the job fails rather than mix the two.
+
 Null texts count as empty: no ids, empty decoded text.  Texts and words of any
 length are taken whole.  Other columns are ignored, whatever their names; repeated
 rows are kept; an empty table gives no rows.
@@ -34,19 +40,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import written
 from .packing import slices
 
 MARK = "▁"
 RUN_CHARS = 1 << 23
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-CODED = "run long, bucket int, size int, ids array<long>, counts array<int>, packed binary"
-FOUND = "of long, bucket int, found binary"
+CODED = "key long, bucket int, size int, ids array<long>, counts array<int>, marks array<long>, packed binary"
+FOUND = "of long, bucket int, size int, mark long, found binary"
 OUT = "doc_id long, n_tokens long, ids string, decoded string"
 #: Bytes of text for which there is a bucket of words, and the fewest buckets.
 PER_BUCKET, LEAST_BUCKETS = 1 << 25, 16
@@ -139,7 +143,11 @@ class Run:
         self.chars += len(text)
 
     def rows(self, buckets: int) -> pa.RecordBatch:
-        """A row of numbers, and one for the words of each bucket; numbers follow the words' order by bucket."""
+        """A row of numbers, and one for the words of each bucket; numbers follow the words' order by bucket.
+
+        Numbers have the run as key, words their bucket as -1, -2 and so on, with the
+        run in ``ids``; the marks of the lists stand with the numbers.
+        """
         words = list(self.words)
         slots = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words], np.int64)
         order = np.argsort(slots, kind="stable")
@@ -150,9 +158,10 @@ class Run:
         cuts = np.searchsorted(slots[order], np.arange(buckets + 1))
         some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         blobs = [packed([words[i] for i in order[cuts[b] : cuts[b + 1]]]) for b in some]
-        rows = [(self.run, -1, len(words), self.ids, [len(c) for c in self.codes], zlib.compress(planes, 1)), *((self.run, b, int(cuts[b + 1] - cuts[b]), None, None, x) for b, x in zip(some, blobs))]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["run", "bucket", "size", "ids", "counts", "packed"])
+        marks = [zlib.crc32(x) for x in blobs]
+        rows = [(self.run, -1, len(words), self.ids, [len(c) for c in self.codes], marks, zlib.compress(planes, 1)), *((-1 - b, b, int(cuts[b + 1] - cuts[b]), [self.run], None, None, x) for b, x in zip(some, blobs))]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "bucket", "size", "ids", "counts", "marks", "packed"])
 
 
 def _coded(buckets: int):
@@ -183,22 +192,23 @@ def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col:
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, at = _segmenter(model_path), {}, None  # known: a bucket's words with their ids
         for batch in batches:
-            for run, bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for bucket, size, (run,), blob in zip(*(batch.column(k).to_pylist() for k in ("bucket", "size", "ids", "packed"))):
                 if bucket != at:
                     known, at = {}, bucket
                 words = unpacked(blob, size)
                 new = [w for w in words if w not in known]
                 known.update(zip(new, model.found(new)))
-                columns = [pa.array([run], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed_ids([known[w] for w in words])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["of", "bucket", "found"])
+                row = (run, bucket, size, zlib.crc32(blob), packed_ids([known[w] for w in words]))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["of", "bucket", "size", "mark", "found"])
 
     def joined(texts: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
-        order = np.argsort(found.column("bucket").to_numpy())
-        sizes = {r["bucket"]: r["size"] for r in texts.select(["bucket", "size"]).to_pylist()}
-        lists = [x for r in order for x in unpacked_ids(found.column("found")[r].as_py(), sizes[found.column("bucket")[r].as_py()])]
+        order, (own,) = np.argsort(found.column("bucket").to_numpy()), texts.to_pylist()
+        if found.column("mark").to_numpy()[order].tolist() != own["marks"]:
+            raise ValueError("the texts changed, or their order, while they were read")
+        lists = [x for r in order for x in unpacked_ids(found.column("found")[r].as_py(), found.column("size")[r].as_py())]
         ids, decoded = [",".join(map(str, x)) for x in lists], _segmenter(model_path).model.decode(lists, num_threads=1) if lists else []
-        (own,) = texts.filter(pa.compute.equal(texts.column("bucket"), -1)).to_pylist()
         planes = np.frombuffer(zlib.decompress(own["packed"]), np.uint8).reshape(4, -1)
         numbers, at = np.ascontiguousarray(planes.T).view("<u4").ravel().tolist(), 0
         for doc_id, n in zip(own["ids"], own["counts"]):
@@ -214,8 +224,9 @@ def round_trip(docs: DataFrame, model_path: str, digests: bool = False, id_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(LEAST_BUCKETS, math.ceil((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / PER_BUCKET))
-    coded = written(rows.mapInArrow(_coded(buckets), CODED), "coded")
-    lists = coded.where("bucket >= 0").select("run", "bucket", "size", "packed")
-    found = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(segmented, FOUND)
-    light = coded.select("run", "bucket", "size", "ids", "counts", F.when(F.col("bucket") < 0, F.col("packed")).alias("packed"))
-    return light.groupBy("run").cogroup(found.groupBy("of")).applyInArrow(joined, OUT)
+    parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = rows.mapInArrow(_coded(buckets), CODED).repartition(parts, "key")
+    # conditions that depend on the partition, and every column, so that neither moves before the shuffle and both steps read the same one
+    key = F.when(F.spark_partition_id() >= 0, F.col("key"))
+    found = coded.where(key < 0).sortWithinPartitions("bucket").mapInArrow(segmented, FOUND)
+    return coded.where(key >= 0).groupBy("key").cogroup(found.groupBy("of")).applyInArrow(joined, OUT)

@@ -782,6 +782,32 @@ def test_runs_list_each_word_once_and_by_bucket():
     assert {pieces.zlib.crc32(w.encode()) % 4 for w in words} == {r["bucket"] for r in lists} - {-1}
 
 
+def test_pieces_take_one_shuffle_there_and_one_back(spark):
+    from pathlib import Path
+
+    from pointmill.plans.scratch import shared_dir
+
+    kept = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("pointmill-*"))
+    before, docs = kept(), spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert (final.count("+- Exchange "), final.count("ReusedExchange"), kept() - before) == (2, 1, set())
+
+
+def test_texts_that_differ_between_two_readings_are_refused(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        steady = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+        assert sorted(r["decoded"] for r in pieces.round_trip(steady, path).collect()) == sorted(f"word {i}" for i in range(20))
+        changing = F.udf(lambda i: f"word {random.SystemRandom().random()}", "string").asNondeterministic()
+        with pytest.raises(Exception, match="the texts changed"):
+            pieces.round_trip(steady.select("doc_id", changing("doc_id").alias("text")), path).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def coded_run(number, rows):
     own = pieces.Run(number)
     for i, text in rows:
