@@ -28,20 +28,25 @@ def flight_lines(points: DataFrame) -> DataFrame:
 def binned(points: DataFrame) -> DataFrame:
     """Points with the bin of their flight line that holds their time: left-closed, the last one holds the end.
 
-    Lines are few; their table is joined to the points by source.
+    Sources are 16-bit numbers, so the table of lines is small and is broadcast.
     """
     step = (F.col("t_max") - F.col("t_min")) / F.col("bins")
     raw = F.when(step > 0, F.floor((F.col("gps_time") - F.col("t_min")) / step)).otherwise(F.lit(0)).cast("long")
     edge = lambda k: F.col("t_min") + k * step
     fixed = F.when(F.col("gps_time") < edge(F.col("raw__")), F.col("raw__") - 1).when(F.col("gps_time") >= edge(F.col("raw__") + 1), F.col("raw__") + 1).otherwise(F.col("raw__"))
-    joined = points.join(flight_lines(points), "point_source_id").withColumn("raw__", raw)
+    joined = points.join(F.broadcast(flight_lines(points)), "point_source_id").withColumn("raw__", raw)
     return joined.withColumn("bin", F.greatest(F.lit(0).cast("long"), F.least(fixed, F.col("bins") - 1))).select(*points.columns, "bin")
 
 
 def filled(heights: DataFrame, value: str = "height", key: str = "point_source_id", order: str = "bin") -> DataFrame:
-    """Missing heights become the mean of the nearest known ones before and after, or the one there is."""
-    before = F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    """Missing heights become the mean of the nearest known ones before and after, or the one there is.
+
+    Both windows run over rows gone by, one of them from the end: a frame that
+    starts anew after each row would take the square of a line's bins.
+    """
+    window = lambda *by: Window.partitionBy(key).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(value, ignorenulls=True).over(window(F.col(order).asc()))
+    after = F.last(value, ignorenulls=True).over(window(F.col(order).desc()))
     both = heights.withColumns({"before__": before, "after__": after})
     mean: Column = (F.col("before__") + F.col("after__")) / 2
     return both.withColumn(value, F.coalesce(value, mean, "before__", "after__")).drop("before__", "after__")
@@ -49,7 +54,11 @@ def filled(heights: DataFrame, value: str = "height", key: str = "point_source_i
 
 def sensor_heights(points: DataFrame) -> DataFrame:
     """Per source and bin: the mean place of its points, and the sensor's height from the valid angles, gaps filled."""
-    own = binned(points)
+    return _heights(binned(points))
+
+
+def _heights(own: DataFrame) -> DataFrame:
+    """The sensor's heights from points with their bins."""
     valid = F.abs("scan_angle_deg") > LEAST_ANGLE
     centres = own.groupBy("point_source_id", "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg(F.when(valid, F.col("z"))).alias("mean_z"))
     away = F.sqrt(F.pow(F.col("cx") - F.col("x"), F.lit(2.0)) + F.pow(F.col("cy") - F.col("y"), F.lit(2.0)))

@@ -131,6 +131,22 @@ def test_missing_heights_are_filled(spark):
     assert [r["height"] for r in found] == [4.0, 4.0, 6.0, 8.0, 8.0]
 
 
+def plan_of(df):
+    """The executed plan as text."""
+    return df._jdf.queryExecution().toString().lower()
+
+
+def test_long_lines_are_filled_in_one_pass(spark):
+    known = F.when(F.col("id") % 700 == 650, (F.col("id") % 11).cast("double"))
+    found = rays.filled(spark.range(20000).select(F.lit(1).alias("point_source_id"), F.col("id").alias("bin"), known.alias("height")))
+    assert "unboundedfollowing" not in plan_of(found)
+    places = list(range(650, 20000, 700))
+    for r in found.collect():
+        before, after = [p % 11 for p in places if p <= r["bin"]][-1:], [p % 11 for p in places if p >= r["bin"]][:1]
+        near = before + after
+        assert r["height"] == sum(near) / len(near)
+
+
 HEAD = "x,y,z,radius,parent_id,section_id"
 
 
