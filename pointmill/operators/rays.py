@@ -79,7 +79,8 @@ def rays(points: DataFrame) -> DataFrame | None:
     if not bad[0] or bad[1]:
         return None
     own = written(binned(points), "binned")
-    joined = own.join(sensor_heights(points), ["point_source_id", "bin"])
+    heights = written(_heights(own), "heights")
+    joined = own.join(heights.hint("merge"), ["point_source_id", "bin"])
     return joined.select(*points.columns, *((F.col(f"c{a}") - F.col(a)).cast("float").alias(f"ray_{a}") for a in "xy"), (F.col("height") - F.col("z")).cast("float").alias("ray_z"))
 
 

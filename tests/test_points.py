@@ -147,6 +147,13 @@ def test_long_lines_are_filled_in_one_pass(spark):
         assert r["height"] == sum(near) / len(near)
 
 
+def test_rays_bin_the_points_once(spark):
+    own = spark.range(400).select(F.col("id").alias("point_id"), *((F.col("id") % k).cast("double").alias(a) for a, k in zip("xyz", (3, 5, 7))), (F.col("id") / 8).alias("gps_time"), (F.col("id") % 2).cast("int").alias("point_source_id"), F.lit(10.0).alias("scan_angle_deg"))
+    found = rays.rays(own)
+    plan = plan_of(found).split("== physical plan ==")[1]
+    assert "window" not in plan and "aggregate" not in plan and found.where("ray_z is null").isEmpty() and found.count() == 400
+
+
 HEAD = "x,y,z,radius,parent_id,section_id"
 
 
