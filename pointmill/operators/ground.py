@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, cell, checked_size
+from ..plans.joins import shuffled
 
 
 def _first(points: DataFrame, keys: list[str], order) -> DataFrame:
@@ -42,4 +43,4 @@ def subsampled(points: DataFrame, size: float = 0.25) -> DataFrame:
     keyed = points.withColumns({f"cell_{a}": cell(a, size) for a in AXES})
     far = sum((F.pow(F.col(a) - (F.col(f"cell_{a}") + 0.5) * F.lit(float(size)), F.lit(2.0)) for a in AXES), F.lit(0.0))
     best = keyed.groupBy(*(f"cell_{a}" for a in AXES)).agg(F.min_by("point_id", F.struct(far, F.col("point_id"))).alias("point_id")).select("point_id", F.lit(True).alias("kept"))
-    return points.join(best, "point_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return points.join(shuffled(best), "point_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))

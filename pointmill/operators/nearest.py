@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.grid import cell_double, checked_size, spread
+from ..plans.joins import shuffled
 from ..plans.scratch import dropped, written
 
-#: Parts of the targets of a wide cell.
-SALTS = 8
+#: Most parts of the targets of a cell, and the targets of a part before there are more.
+SALTS, CROWD = 8, 1024
 
 
 def ring_join(queries: DataFrame, targets: DataFrame, k: int, cell_size: float, score: Column, outside: Callable[[float], Column], keep: Column | None = None) -> DataFrame:
@@ -23,8 +24,8 @@ def ring_join(queries: DataFrame, targets: DataFrame, k: int, cell_size: float,
     are over both, and ``outside(r)`` bounds from below the score of any target
     farther than r in x and y.  The cell of each query and those around it are
     searched until its k-th score is at most that bound; only queries still open
-    go on to cells twice as wide.  From the third width on, where cells are few,
-    the targets of a cell lie in ``SALTS`` parts that the queries all visit.
+    go on to cells twice as wide.  Where a cell holds many targets, the targets of
+    each cell lie in up to ``SALTS`` parts that the queries all visit.
     """
     size = checked_size(cell_size)
     targets, open_ = written(targets, "targets"), written(queries, "queries")
@@ -33,27 +34,29 @@ def ring_join(queries: DataFrame, targets: DataFrame, k: int, cell_size: float,
     if ends[0] is None or own[0] is None:
         return queries.join(targets.limit(0), F.lit(False)).withColumn("score", score).withColumn("rank", F.lit(1))
     most = max(ends[1] - own[0], own[1] - ends[0], ends[3] - own[2], own[3] - ends[2])
-    found, turn = None, 0
+    found = None
     while True:
-        last, salts = size > most, 1 if turn < 2 else SALTS
-        salted = F.pmod(F.xxhash64("tid"), F.lit(salts)) if salts > 1 else F.lit(0).cast("long")
-        keyed = targets.withColumns({"gx": cell_double("tx", size), "gy": cell_double("ty", size), "salt": salted})
+        last = size > most
+        keyed = targets.withColumns({"gx": cell_double("tx", size), "gy": cell_double("ty", size)})
+        crowd = keyed.groupBy("gx", "gy").count().agg(F.max("count")).head()[0]
+        salts = max(1, min(SALTS, crowd // CROWD))
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(salts)) if salts > 1 else F.lit(0).cast("long"))
         around = spread(open_.withColumns({"gx": cell_double("qx", size), "gy": cell_double("qy", size)}), ("gx", "gy"))
         around = around.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        near = around.join(keyed, ["gx", "gy", "salt"]).drop("gx", "gy", "salt").withColumn("score", score)
+        near = around.join(shuffled(keyed), ["gx", "gy", "salt"]).drop("gx", "gy", "salt").withColumn("score", score)
         near = near if keep is None else near.where(keep)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "tid"))).where(F.col("rank") <= k)
         if last:
             return ranked if found is None else found.unionByName(ranked)
-        ranked = written(ranked, "ranked")
-        sure = ranked.where((F.col("rank") == k) & (F.col("score") <= outside(size))).select("qid")
-        done = ranked.join(sure, "qid", "left_semi")
+        kth = F.max(F.when(F.col("rank") == k, F.col("score"))).over(Window.partitionBy("qid"))
+        sure = ranked.withColumn("kth__", kth).where(F.col("qid").isNotNull() & (F.col("kth__") <= outside(size))).drop("kth__")
+        done = written(sure, "ranked")
         found = done if found is None else found.unionByName(done)
-        before, open_ = open_, written(open_.join(sure, "qid", "left_anti"), "queries")
+        before, open_ = open_, written(open_.join(shuffled(done.where(F.col("rank") == k).select("qid")), "qid", "left_anti"), "queries")
         dropped(before)
         if open_.isEmpty():
             return found
-        size, turn = 2 * size, turn + 1
+        size = 2 * size
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int = 1, cell_size: float = 1.0, dims: int = 2) -> DataFrame:
@@ -71,7 +74,7 @@ def height_above_ground(points: DataFrame, ground: DataFrame, cell_size: float =
     queries = points.select(F.col("point_id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     targets = ground.select(F.col("point_id").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
     found = nearest(queries, targets, 1, cell_size).select(F.col("qid").alias("point_id"), "tz")
-    return points.join(found, "point_id").withColumn("height", F.col("z") - F.col("tz")).drop("tz")
+    return points.join(shuffled(found), "point_id").withColumn("height", F.col("z") - F.col("tz")).drop("tz")
 
 
 def box_mean(queries: DataFrame, ground: DataFrame, radius: float = 0.75) -> DataFrame:
@@ -79,7 +82,7 @@ def box_mean(queries: DataFrame, ground: DataFrame, radius: float = 0.75) -> Dat
     size = 2.0 ** math.floor(math.log2(radius) + 1)
     keyed = ground.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz")).withColumns({"gx": cell_double("tx", size), "gy": cell_double("ty", size)})
     around = spread(queries.withColumns({"gx": cell_double("qx", size), "gy": cell_double("qy", size)}), ("gx", "gy"))
-    met = around.join(keyed, ["gx", "gy"]).where((F.abs(F.col("qx") - F.col("tx")) <= radius) & (F.abs(F.col("qy") - F.col("ty")) <= radius))
+    met = around.join(shuffled(keyed), ["gx", "gy"]).where((F.abs(F.col("qx") - F.col("tx")) <= radius) & (F.abs(F.col("qy") - F.col("ty")) <= radius))
     return met.groupBy("qid").agg(F.avg("tz").alias("ground_z"), F.count("*").alias("n"))
 
 
@@ -88,4 +91,4 @@ def upsampled(points: DataFrame, sample: DataFrame, label: str, size: float = 0.
     queries = points.select(F.col("point_id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"))
     targets = sample.select(F.col("point_id").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), label)
     found = nearest(queries, targets, 1, size, dims=3).select(F.col("qid").alias("point_id"), label)
-    return points.join(found, "point_id")
+    return points.join(shuffled(found), "point_id")

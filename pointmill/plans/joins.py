@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 HOT = 512
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """The table, to be joined by a shuffle and never broadcast.
+
+    Spark takes a written table for as large as its files are; compressed columns
+    of ids and coordinates hold twenty times as much and more, which the driver
+    would gather for a broadcast.  For joins of tables that grow with the rows.
+    """
+    return table.hint("merge")
+
+
 def unique_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Inner join with a table whose column ``size`` says how many of ``rows`` a key has.
 

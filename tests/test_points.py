@@ -84,6 +84,19 @@ def test_nearest_of_far_queries(spark):
     assert found == brute(queries, targets, 4)
 
 
+def plan_of(df):
+    """The executed plan as text."""
+    return df._jdf.queryExecution().toString().lower()
+
+
+def test_tables_that_grow_are_never_broadcast(spark, cloud):
+    points = spark.range(300).select(F.col("id").alias("point_id"), *((F.col("id") % k).cast("double").alias(a) for a, k in zip("xyz", (17, 13, 5))))
+    q = points.select(F.col("point_id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    t = points.select(F.col("point_id").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    for found in (nearest.nearest(q, t, 5), nearest.height_above_ground(points, points), nearest.box_mean(q, points), ground.subsampled(points)):
+        assert "broadcast" not in plan_of(found)
+
+
 def test_box_mean_is_closed(spark, cloud):
     ground_points = cloud([(0.75, 0, 2), (0, -0.75, 4), (0.76, 0, 100)])
     q = spark.createDataFrame([(0, 0.0, 0.0), (1, 50.0, 50.0)], "qid long, qx double, qy double")
@@ -131,11 +144,6 @@ def test_missing_heights_are_filled(spark):
     assert [r["height"] for r in found] == [4.0, 4.0, 6.0, 8.0, 8.0]
 
 
-def plan_of(df):
-    """The executed plan as text."""
-    return df._jdf.queryExecution().toString().lower()
-
-
 def test_long_lines_are_filled_in_one_pass(spark):
     known = F.when(F.col("id") % 700 == 650, (F.col("id") % 11).cast("double"))
     found = rays.filled(spark.range(20000).select(F.lit(1).alias("point_source_id"), F.col("id").alias("bin"), known.alias("height")))
