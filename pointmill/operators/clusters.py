@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import cell, cell_double, checked_size, half_offsets, spread
 from ..functions.ranking import dense_index
+from ..plans.joins import shuffled
 from ..plans.scratch import written
 from ..schema import UNASSIGNED
 from . import labels, nearest
@@ -34,11 +35,11 @@ def grid_components(points: DataFrame, size: float, axes: str = "xy", name: str
     cells = written(keyed.select(*keys).distinct().withColumn("place", place), "cells")
     steps = F.explode(F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"d{i}") for i, d in enumerate(step))) for step in half_offsets(len(axes)))))
     moved = cells.withColumn("step", steps).select(F.col("place").alias("src"), *((F.col(k) + F.col(f"step.d{i}")).alias(k) for i, k in enumerate(keys)))
-    edges = moved.join(cells.withColumnRenamed("place", "dst"), keys).select("src", "dst")
-    found = cells.join(connected(edges), F.col("place") == F.col("id"), "left").select(*keys, F.coalesce("component", "place").alias("component"))
+    edges = moved.join(shuffled(cells.withColumnRenamed("place", "dst")), keys).select("src", "dst")
+    found = cells.join(shuffled(connected(edges)), F.col("place") == F.col("id"), "left").select(*keys, F.coalesce("component", "place").alias("component"))
     index = dense_index(found, "component", name)
-    numbered = found.join(index, "component").select(*keys, F.col(name).cast("int").alias(name))
-    return keyed.join(numbered, keys).select(*points.columns, name)
+    numbered = found.join(shuffled(index), "component").select(*keys, F.col(name).cast("int").alias(name))
+    return keyed.join(shuffled(numbered), keys).select(*points.columns, name)
 
 
 def bounds_of(points: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -69,12 +70,12 @@ def ground_gaps(points: DataFrame, ground: DataFrame | None, voxel_size: float =
         for a in "xy":
             cover = cover.withColumn(f"g{a}", F.explode(F.sequence(F.floor(F.col(f"{a}_min") / size).cast("long"), F.floor(F.col(f"{a}_max") / size).cast("long"))))
         keyed = ground.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz")).withColumns({"gx": cell_double("tx", size), "gy": cell_double("ty", size)})
-        inside = cover.join(keyed, ["gx", "gy"]).where(F.col("tx").between(F.col("x_min"), F.col("x_max")) & F.col("ty").between(F.col("y_min"), F.col("y_max")))
+        inside = cover.join(shuffled(keyed), ["gx", "gy"]).where(F.col("tx").between(F.col("x_min"), F.col("x_max")) & F.col("ty").between(F.col("y_min"), F.col("y_max")))
         means = written(inside.groupBy("cluster").agg(F.avg("tz").alias("ground_z")), "ground")
-        rest = boxes.join(means, "cluster", "left_anti").select(F.col("cluster").cast("long").alias("qid"), ((F.col("x_min") + F.col("x_max")) / 2).alias("qx"), ((F.col("y_min") + F.col("y_max")) / 2).alias("qy"))
+        rest = boxes.join(shuffled(means), "cluster", "left_anti").select(F.col("cluster").cast("long").alias("qid"), ((F.col("x_min") + F.col("x_max")) / 2).alias("qx"), ((F.col("y_min") + F.col("y_max")) / 2).alias("qy"))
         targets = ground.select(F.col("point_id").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
         near = nearest.nearest(rest, targets, nearest_ground_points, size).groupBy("qid").agg(F.avg("tz").alias("ground_z")).select(F.col("qid").cast("int").alias("cluster"), "ground_z")
-        report = boxes.join(means.unionByName(near), "cluster")
+        report = boxes.join(shuffled(means.unionByName(near)), "cluster")
     report = report.withColumn("gap", F.col("min_z") - F.col("ground_z")).withColumn("accepted", F.col("gap") <= max_gap)
     return member, report
 
@@ -82,7 +83,7 @@ def ground_gaps(points: DataFrame, ground: DataFrame | None, voxel_size: float =
 def floating_filter(points: DataFrame, ground: DataFrame | None = None, **settings) -> DataFrame:
     """Points with ``kept``: whether their component is near enough to the ground."""
     member, report = ground_gaps(points, ground, **settings)
-    return member.join(report.select("cluster", F.col("accepted").alias("kept")), "cluster").select(*points.columns, "cluster", "kept")
+    return member.join(shuffled(report.select("cluster", F.col("accepted").alias("kept"))), "cluster").select(*points.columns, "cluster", "kept")
 
 
 def connect_floating(points: DataFrame, ground: DataFrame, ground_z_threshold: float = 0.5, min_cluster_size: int = 5000, max_tilt_deg: float = 30.0, label: str = "label") -> DataFrame:
@@ -109,7 +110,7 @@ def connect_floating(points: DataFrame, ground: DataFrame, ground_z_threshold: f
     below = nearest.ring_join(loose.where(F.col("qz") > lowest), fixed, 1, size, tilted, lambda r: F.lit(r) - F.lit(slope) * (F.col("qz") - F.lit(float(lowest))), F.col("tz") < F.col("qz"))
     above = nearest.nearest(loose.where(F.col("qz") <= lowest), fixed, 1, size, dims=3)
     moves = below.select("qid", "tid").unionByName(above.select("qid", "tid")).select(F.col("qid").alias(label), F.col("tid").alias("to__"))
-    moved = points.join(moves, label, "left")
+    moved = points.join(shuffled(moves), label, "left")
     return moved.withColumn(label, F.coalesce(F.col("to__").cast(points.schema[label].dataType), F.col(label))).select(points.columns)
 
 
@@ -117,7 +118,7 @@ def trunk_positions(points: DataFrame, band: tuple[float, float] = (0.5, 2.0), m
     """Per label the mean x and y of the points in a band above its lowest (closed), and its size; null if none are there."""
     lows = points.where(F.col(label) != UNASSIGNED).groupBy(label).agg(F.min("z").alias("low__"), F.count("*").alias("n")).where(F.col("n") >= min_points)
     inside = F.col("z").between(F.col("low__") + band[0], F.col("low__") + band[1])
-    return points.join(lows, label).groupBy(label).agg(F.avg(F.when(inside, F.col("x"))).alias("x"), F.avg(F.when(inside, F.col("y"))).alias("y"), F.first("n").alias("n"))
+    return points.join(shuffled(lows), label).groupBy(label).agg(F.avg(F.when(inside, F.col("x"))).alias("x"), F.avg(F.when(inside, F.col("y"))).alias("y"), F.first("n").alias("n"))
 
 
 def trunk_groups(points: DataFrame, min_trunk_dist: float = 1.5, trunk_height_band: tuple[float, float] = (0.5, 2.0), min_points: int = 50, label: str = "label") -> DataFrame:
@@ -127,11 +128,11 @@ def trunk_groups(points: DataFrame, min_trunk_dist: float = 1.5, trunk_height_ba
     keyed = trunks.withColumns({"gx": cell_double("x", size), "gy": cell_double("y", size)})
     other = keyed.select(F.col("trunk").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "gx", "gy")
     far = F.pow(F.col("x") - F.col("ox"), F.lit(2.0)) + F.pow(F.col("y") - F.col("oy"), F.lit(2.0))
-    pairs = spread(keyed, ("gx", "gy")).join(other, ["gx", "gy"]).where((F.col("trunk") < F.col("other")) & (far <= min_trunk_dist**2))
+    pairs = spread(keyed, ("gx", "gy")).join(shuffled(other), ["gx", "gy"]).where((F.col("trunk") < F.col("other")) & (far <= min_trunk_dist**2))
     groups = connected(pairs.select(F.col("trunk").cast("long").alias("src"), F.col("other").cast("long").alias("dst")))
-    sized = groups.join(trunks.select(F.col("trunk").cast("long").alias("id"), "n"), "id")
+    sized = groups.join(shuffled(trunks.select(F.col("trunk").cast("long").alias("id"), "n")), "id")
     roots = sized.groupBy("component").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("root"))
-    return sized.join(roots, "component").select(F.col("id").alias(label), "root")
+    return sized.join(shuffled(roots), "component").select(F.col("id").alias(label), "root")
 
 
 def merge_trunks(points: DataFrame, min_trunk_dist: float = 1.5, trunk_height_band: tuple[float, float] = (0.5, 2.0), min_points: int = 50, label: str = "label") -> DataFrame:
@@ -139,5 +140,5 @@ def merge_trunks(points: DataFrame, min_trunk_dist: float = 1.5, trunk_height_ba
     roots = written(trunk_groups(points, min_trunk_dist, trunk_height_band, min_points, label), "roots")
     if roots.isEmpty():
         return points
-    joined = points.join(roots, label, "left").withColumn(label, F.coalesce(F.col("root").cast(points.schema[label].dataType), F.col(label))).select(points.columns)
+    joined = points.join(shuffled(roots), label, "left").withColumn(label, F.coalesce(F.col("root").cast(points.schema[label].dataType), F.col(label))).select(points.columns)
     return labels.reduced(joined, label)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import shuffled
 from ..plans.scratch import dropped, written
 
 
 def _along(rows: DataFrame, name: str, to: DataFrame) -> DataFrame:
     """The column's ids replaced by those that ``to`` gives for them."""
     other = to.select(F.col("id").alias(name), F.col("label").alias("to__"))
-    return rows.join(other, name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
+    return rows.join(shuffled(other), name, "left").withColumn(name, F.coalesce("to__", name)).drop("to__")
 
 
 def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,7 +34,7 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
         far = written(ends.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "moves")
         while True:
             onward = far.select(F.col("id").alias("label"), F.col("label").alias("onward"))
-            further = written(far.join(onward, "label").select("id", F.col("onward").alias("label"), (F.col("onward") < F.col("label")).alias("moved")), "moves")
+            further = written(far.join(shuffled(onward), "label").select("id", F.col("onward").alias("label"), (F.col("onward") < F.col("label")).alias("moved")), "moves")
             if further.where("moved").isEmpty():
                 dropped(further)
                 break

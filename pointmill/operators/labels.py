@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
+from ..plans.joins import shuffled
 from ..schema import SHRUB, UNASSIGNED
 
 INT_MAX = 2**31 - 1
@@ -39,13 +40,13 @@ def centred(points: DataFrame) -> DataFrame:
 def reduced(points: DataFrame, label: str = "label") -> DataFrame:
     """Labels re-indexed from 0 in ascending order; -1 stays."""
     index = dense_index(points.where(F.col(label) != UNASSIGNED), label, "index__")
-    return points.join(index, label, "left").withColumn(label, F.coalesce(F.col("index__").cast("int"), F.lit(UNASSIGNED))).drop("index__").select(points.columns)
+    return points.join(shuffled(index), label, "left").withColumn(label, F.coalesce(F.col("index__").cast("int"), F.lit(UNASSIGNED))).drop("index__").select(points.columns)
 
 
 def without_small(points: DataFrame, min_points: int = 100, label: str = "label") -> DataFrame:
     """Labels with fewer than ``min_points`` points become -1."""
     small = points.where(F.col(label) != UNASSIGNED).groupBy(label).agg(F.count("*").alias("n__")).where(F.col("n__") < min_points)
-    joined = points.join(small, label, "left")
+    joined = points.join(shuffled(small), label, "left")
     return joined.withColumn(label, F.when(F.col("n__").isNull(), F.col(label)).otherwise(F.lit(UNASSIGNED)).cast(points.schema[label].dataType)).select(points.columns)
 
 
@@ -90,4 +91,4 @@ def wood_reset(tree: str = "tree_id", wood: str = "wood_leaf") -> Column:
 
 def scattered(full: DataFrame, part: DataFrame, column: str, default: int = UNASSIGNED) -> DataFrame:
     """A column computed for some points, brought to all of them."""
-    return full.join(part.select("point_id", column), "point_id", "left").withColumn(column, F.coalesce(column, F.lit(default)))
+    return full.join(shuffled(part.select("point_id", column)), "point_id", "left").withColumn(column, F.coalesce(column, F.lit(default)))

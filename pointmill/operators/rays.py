@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.joins import shuffled
 from ..plans.scratch import written
 
 LEAST_ANGLE = 5.0
@@ -63,8 +64,8 @@ def _heights(own: DataFrame) -> DataFrame:
     centres = own.groupBy("point_source_id", "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg(F.when(valid, F.col("z"))).alias("mean_z"))
     away = F.sqrt(F.pow(F.col("cx") - F.col("x"), F.lit(2.0)) + F.pow(F.col("cy") - F.col("y"), F.lit(2.0)))
     rise = F.when(valid, away / F.tan(F.radians(F.abs("scan_angle_deg"))))
-    medians = own.join(centres, ["point_source_id", "bin"]).groupBy("point_source_id", "bin").agg(F.median(rise).alias("rise"))
-    return filled(centres.join(medians, ["point_source_id", "bin"]).select("point_source_id", "bin", "cx", "cy", (F.col("mean_z") + F.col("rise")).alias("height")))
+    medians = own.join(shuffled(centres), ["point_source_id", "bin"]).groupBy("point_source_id", "bin").agg(F.median(rise).alias("rise"))
+    return filled(centres.join(shuffled(medians), ["point_source_id", "bin"]).select("point_source_id", "bin", "cx", "cy", (F.col("mean_z") + F.col("rise")).alias("height")))
 
 
 def rays(points: DataFrame) -> DataFrame | None:
@@ -80,7 +81,7 @@ def rays(points: DataFrame) -> DataFrame | None:
         return None
     own = written(binned(points), "binned")
     heights = written(_heights(own), "heights")
-    joined = own.join(heights.hint("merge"), ["point_source_id", "bin"])
+    joined = own.join(shuffled(heights), ["point_source_id", "bin"])
     return joined.select(*points.columns, *((F.col(f"c{a}") - F.col(a)).cast("float").alias(f"ray_{a}") for a in "xy"), (F.col("height") - F.col("z")).cast("float").alias("ray_z"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.ranking import dense_index
+from ..plans.joins import shuffled
 from ..plans.scratch import written
 from ..schema import UNASSIGNED
 from . import clusters, nearest
@@ -50,7 +51,7 @@ def without_trunks(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Points of clusters that are no pieces of trunks; negative cluster ids raise."""
     if not points.where(F.col(cluster) < 0).isEmpty():
         raise ValueError("cluster ids must not be negative")
-    return points.join(partial_trunks(points, cluster).where("is_trunk").select(cluster), cluster, "left_anti").select(points.columns)
+    return points.join(shuffled(partial_trunks(points, cluster).where("is_trunk").select(cluster)), cluster, "left_anti").select(points.columns)
 
 
 def _inside(xy: np.ndarray) -> np.ndarray:
@@ -165,11 +166,11 @@ def shrub_report(points: DataFrame, ground: DataFrame, cluster: str = "cluster")
     """
     lowest = written(lowest_points(points, cluster).select(cluster, "height", F.col("low.x").alias("qx"), F.col("low.y").alias("qy"), F.col("low.z").alias("low_z")), "lowest")
     level = nearest.box_mean(lowest.select(F.col(cluster).cast("long").alias("qid"), "qx", "qy"), ground, 0.75).select(F.col("qid").alias(cluster), "ground_z")
-    level = written(lowest.join(level, cluster, "left"), "levels")
-    section = points.join(level.select(cluster, "ground_z"), cluster).where(F.col("z").between(F.col("ground_z"), F.col("ground_z") + 0.4))
+    level = written(lowest.join(shuffled(level), cluster, "left"), "levels")
+    section = points.join(shuffled(level.select(cluster, "ground_z")), cluster).where(F.col("z").between(F.col("ground_z"), F.col("ground_z") + 0.4))
     base = hull_areas(section, cluster).withColumnRenamed("area", "base_area")
     counts = section.groupBy(cluster).agg(F.count("*").alias("base_n"))
-    report = level.join(base, cluster, "left").join(counts, cluster, "left").join(hull_areas(points, cluster), cluster, "left")
+    report = level.join(shuffled(base), cluster, "left").join(shuffled(counts), cluster, "left").join(shuffled(hull_areas(points, cluster)), cluster, "left")
     width, base_width = F.col("area") / F.lit(np.pi), F.col("base_area") / F.lit(np.pi)
     report = report.select(cluster, "ground_z", "low_z", "height", F.coalesce("base_n", F.lit(0)).alias("base_n"), base_width.alias("base_width"), width.alias("width"))
     ratio = F.col("height") / F.col("width")
@@ -181,7 +182,7 @@ def shrub_points(points: DataFrame, ground: DataFrame | None, cluster: str = "cl
     """Points of the clusters that pass the shrub filter; none without ground."""
     if ground is None:
         return points.limit(0)
-    return points.join(shrub_report(points, ground, cluster).where("is_shrub").select(cluster), cluster, "left_semi").select(points.columns)
+    return points.join(shuffled(shrub_report(points, ground, cluster).where("is_shrub").select(cluster)), cluster, "left_semi").select(points.columns)
 
 
 def shrubs(points: DataFrame, ground: DataFrame | None = None, xy_voxel_size: float = 0.5, outlier_neighbors: int = 48, outlier_std_ratio: float = 0.5, tree: str = "tree_id") -> DataFrame:
@@ -198,5 +199,5 @@ def shrubs(points: DataFrame, ground: DataFrame | None = None, xy_voxel_size: fl
     member = written(clusters.grid_components(loose, xy_voxel_size), "members")
     passing = written(without_trunks(shrub_points(member, ground)), "shrubs")
     index = dense_index(passing, "cluster", "shrub_id")
-    ids = passing.join(index, "cluster").select("point_id", F.col("shrub_id").cast("int").alias("shrub_id"))
-    return points.join(ids, "point_id", "left").withColumn("shrub_id", F.coalesce("shrub_id", F.lit(UNASSIGNED)))
+    ids = passing.join(shuffled(index), "cluster").select("point_id", F.col("shrub_id").cast("int").alias("shrub_id"))
+    return points.join(shuffled(ids), "point_id", "left").withColumn("shrub_id", F.coalesce("shrub_id", F.lit(UNASSIGNED)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import checked_size
+from ..plans.joins import shuffled
 
 
 def tile_table(points: DataFrame, size: float = 50.0, overlap: float = 3.0) -> DataFrame:
@@ -63,4 +64,4 @@ def gathered(points: DataFrame, boxes: DataFrame, group: str, cell_size: float =
     if group in keyed.columns:
         keyed = keyed.drop(group)
     inside = [F.col(a).between(F.col(f"{a}_min"), F.col(f"{a}_max")) for a in "xyz"]
-    return keyed.join(covering, ["cell_x", "cell_y"]).where(inside[0] & inside[1] & inside[2]).select(group, *[c for c in points.columns if c != group])
+    return keyed.join(shuffled(covering), ["cell_x", "cell_y"]).where(inside[0] & inside[1] & inside[2]).select(group, *[c for c in points.columns if c != group])

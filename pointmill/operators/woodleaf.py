@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import spread
+from ..plans.joins import shuffled
 from ..plans.scratch import written
 from ..schema import LEAF, UNASSIGNED, WOOD
 from . import nearest
@@ -14,7 +15,7 @@ from . import nearest
 def branches(segments: DataFrame) -> DataFrame:
     """Segments with their parent's end: one row per branch cylinder, without the roots."""
     parent = segments.select("tree_no", F.col("seg_no").alias("parent_id"), *(F.col(a).alias(f"p{a}") for a in "xyz"))
-    joined = segments.join(parent, ["tree_no", "parent_id"])
+    joined = segments.join(shuffled(parent), ["tree_no", "parent_id"])
     return joined.select("tree_no", "seg_no", "px", "py", "pz", "x", "y", "z", "radius")
 
 
@@ -43,7 +44,7 @@ def in_cylinders(points: DataFrame, cylinders: DataFrame, distance: float = 0.02
     length = F.sqrt(axis["x"] * axis["x"] + axis["y"] * axis["y"] + axis["z"] * axis["z"])
     own = cylinders.withColumn("length", length).where(F.col("length") > 0)
     if cell_size is None:
-        middle = own.agg(F.median(F.col("radius") + 2 * distance)).head()[0]
+        middle = own.agg(F.percentile_approx(F.col("radius") + 2 * distance, 0.5)).head()[0]
         cell_size = max(float(middle or 0.0) * 2, 0.05)
     for a in "xyz":
         ends = [F.floor((f(F.col(a), F.col(f"p{a}")) + s * reach) / cell_size).cast("long") for f, s in ((F.least, -1), (F.greatest, 1))]
@@ -53,7 +54,7 @@ def in_cylinders(points: DataFrame, cylinders: DataFrame, distance: float = 0.02
     off = {a: F.col(f"q{a}") - F.col(f"p{a}") for a in "xyz"}
     along = (off["x"] * axis["x"] + off["y"] * axis["y"] + off["z"] * axis["z"]) / F.col("length")
     across = off["x"] * off["x"] + off["y"] * off["y"] + off["z"] * off["z"] - along * along
-    met = keyed.join(own, ["gx", "gy", "gz"]).where((along >= -distance) & (along <= F.col("length") + distance) & (F.greatest(across, F.lit(0.0)) < F.pow(F.col("radius") + distance, F.lit(2.0))))
+    met = keyed.join(shuffled(own), ["gx", "gy", "gz"]).where((along >= -distance) & (along <= F.col("length") + distance) & (F.greatest(across, F.lit(0.0)) < F.pow(F.col("radius") + distance, F.lit(2.0))))
     return met.select("point_id").distinct()
 
 
@@ -63,7 +64,7 @@ def wood_leaf(points: DataFrame, segments: DataFrame | None, distance: float = 0
     if segments is None or on_tree.isEmpty():
         return points.withColumn("wood_leaf", F.when(F.col(tree) >= 0, F.lit(LEAF)).otherwise(F.lit(UNASSIGNED)).cast("byte"))
     wood = in_cylinders(on_tree, branches(checked_segments(segments)), distance).withColumn("wood__", F.lit(True))
-    joined = points.join(wood, "point_id", "left")
+    joined = points.join(shuffled(wood), "point_id", "left")
     label = F.when(F.col(tree) < 0, F.lit(UNASSIGNED)).when(F.col("wood__"), F.lit(WOOD)).otherwise(F.lit(LEAF))
     return joined.withColumn("wood_leaf", label.cast("byte")).drop("wood__")
 
@@ -104,7 +105,7 @@ def propagated(points: DataFrame, ground: DataFrame, height: float = 1.35, radiu
         leaves = counted.where(F.col("near") < min_points)
     if promoted is None:
         return points
-    joined = points.join(promoted, "point_id", "left")
+    joined = points.join(shuffled(promoted), "point_id", "left")
     return joined.withColumn(wood, F.when(F.col("turned__"), F.lit(WOOD)).otherwise(F.col(wood)).cast(points.schema[wood].dataType)).select(points.columns)
 
 

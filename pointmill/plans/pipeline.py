@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType
 
 from ..operators import clusters, ground, labels, nearest, rays, shapes, stems, tiles, woodleaf
 from ..schema import UNASSIGNED, Config
+from .joins import shuffled
 from .scratch import fresh_path, written
 
 Extractor = Callable[[DataFrame, DataFrame, Config], tuple[DataFrame, DataFrame]]
@@ -83,7 +84,7 @@ def segmented_groups(points: DataFrame, config: Config, extract: Extractor = ste
         own = near.where(F.col("group") == group).drop("group")
         own_trees = labels.tree_points(own, config.tree_label)
         found = segmented_trees(own_trees, ground_of(own, own_trees, config), config, extract, min_tree_points)
-        mine = found.join(grouped.where(F.col("group") == group).select("point_id"), "point_id", "left_semi")
+        mine = found.join(shuffled(grouped.where(F.col("group") == group).select("point_id")), "point_id", "left_semi")
         mine = postprocessed(written(mine, "group"), min_tree_points).select(*trees.columns, *none)
         mine.write.option("compression", "zstd").parquet(f"{folder}/group={group}")
         return mine
@@ -119,5 +120,5 @@ def segment(points: DataFrame, config: Config | None = None, extract: Extractor
     else:
         found = segmented_trees(own, ground_of(flat, own, config), config, extract, min_tree_points, grounded_size)
     merged = labels.merged_instances(written(found, "found")).select("point_id", *none)
-    joined = points.join(merged, "point_id", "left")
+    joined = points.join(shuffled(merged), "point_id", "left")
     return joined.select(*points.columns, *(F.coalesce(F.col(k), v).alias(k) for k, v in none.items()))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointmill.operators import densify, ground, nearest, rays, stems, tiles, woodleaf
+from pointmill.operators import clusters, densify, ground, labels, nearest, rays, shapes, stems, tiles, woodleaf
 from pointmill.plans import pipeline
 from pointmill.schema import Config
 from pointmill.sources import las, ply, treefile
@@ -435,3 +435,12 @@ def test_stream_counts_per_tile(spark, cloud, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["ix"], r["n"]) for r in spark.table("tile_counts").collect()) == [(0, 2), (1, 1)]
+
+
+def test_steps_of_a_segmentation_broadcast_no_points(spark, cloud):
+    poles, soil = grove([(0, 0), (12, 4)])
+    points, level = cloud(poles, label=[1] * len(poles)), cloud(soil)
+    own = points.withColumns({"tree_id": F.col("label"), "cluster": F.col("label")})
+    segments = stems.segments(own, 1.0)
+    for found in (segments, labels.without_small(points, 3), clusters.trunk_positions(points), tiles.gathered(points, tiles.group_boxes(points, "label"), "label"), shapes.shrub_points(own, level), woodleaf.wood_leaf(own, segments)):
+        assert "broadcast" not in plan_of(found)
