@@ -19,7 +19,7 @@ from .joins import shuffled
 from .scratch import fresh_path, written
 
 Extractor = Callable[[DataFrame, DataFrame, Config], tuple[DataFrame, DataFrame]]
-SINGLE_PASS, GROUP_POINTS, GROUPS_AT_ONCE = 10_000_000, 4_000_000, 8
+GROUP_POINTS, GROUPS_AT_ONCE = 4_000_000, 8
 
 
 def ground_of(points: DataFrame, trees: DataFrame, config: Config) -> DataFrame:
@@ -98,13 +98,17 @@ def segmented_groups(points: DataFrame, config: Config, extract: Extractor = ste
     return labels.reduced(out, "tree_id").drop("group")
 
 
-def segment(points: DataFrame, config: Config | None = None, extract: Extractor = stems.extracted, min_tree_points: int = 5000, grounded_size: int = 500, single_pass: int = SINGLE_PASS) -> DataFrame:
+def segment(points: DataFrame, config: Config | None = None, extract: Extractor = stems.extracted, min_tree_points: int = 5000, grounded_size: int = 500, single_pass: int | None = None) -> DataFrame:
     """All points with instance_id, species_id and wood_leaf (-1 where unassigned).
 
     Without a ground class the ground is estimated from the tree points; without
     a tree class no point is a tree.  Rays come from the columns ray_x, ray_y and
     ray_z, which must be finite, else with ``use_rays`` from the flight metadata;
     the extraction gets them as columns of its points.
+
+    A cloud of any size is segmented whole: groups of points give other trees
+    where they part one, so the large path is taken only by a caller who says
+    beyond how many tree points.
     """
     config = config or Config()
     none = {"instance_id": F.lit(UNASSIGNED), "species_id": F.lit(UNASSIGNED).cast("byte"), "wood_leaf": F.lit(UNASSIGNED).cast("byte")}
@@ -115,7 +119,7 @@ def segment(points: DataFrame, config: Config | None = None, extract: Extractor
     with_rays = rays.checked(points) if "ray_x" in points.columns else rays.rays(rays.ray_columns(points)) if config.use_rays else None
     flat = written(labels.centred(points if with_rays is None else with_rays.select(*points.columns, *(c for c in rays.RAY if c not in points.columns))), "centred")
     own = labels.tree_points(flat, config.tree_label)
-    if n > single_pass:
+    if single_pass is not None and n > single_pass:
         found = segmented_groups(flat, config, extract, max(2, math.ceil(n / GROUP_POINTS)), min_tree_points)
     else:
         found = segmented_trees(own, ground_of(flat, own, config), config, extract, min_tree_points, grounded_size)

@@ -444,3 +444,12 @@ def test_steps_of_a_segmentation_broadcast_no_points(spark, cloud):
     segments = stems.segments(own, 1.0)
     for found in (segments, labels.without_small(points, 3), clusters.trunk_positions(points), tiles.gathered(points, tiles.group_boxes(points, "label"), "label"), shapes.shrub_points(own, level), woodleaf.wood_leaf(own, segments)):
         assert "broadcast" not in plan_of(found)
+
+
+def test_a_cloud_of_any_size_is_segmented_whole(cloud, monkeypatch):
+    poles, soil = grove([(0, 0)])
+    points = cloud(poles + soil, classification=[7] * len(poles) + [1] * len(soil))
+    monkeypatch.setattr(type(points), "count", lambda self: 20_000_000)
+    monkeypatch.setattr(pipeline, "segmented_groups", lambda *a: pytest.fail("parted into groups"))
+    found = pipeline.segment(points, Config(**SETTINGS), min_tree_points=100).where("classification = 7")
+    assert [r["instance_id"] for r in found.select("instance_id").distinct().collect()] == [0]
