@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import spread
 from ..plans.joins import shuffled
-from ..plans.scratch import written
+from ..plans.scratch import dropped, written
 from ..schema import LEAF, UNASSIGNED, WOOD
 from . import nearest
 
+#: Width of a cell in the scaled space, and how far an ellipsoid may reach there, with room for rounding.
+CELL, REACH = 2.0, 1.000001
+
 
 def branches(segments: DataFrame) -> DataFrame:
     """Segments with their parent's end: one row per branch cylinder, without the roots."""
@@ -73,9 +75,10 @@ def propagated(points: DataFrame, ground: DataFrame, height: float = 1.35, radiu
     """Leaf points near the ground become wood if enough wood of their tree lies in an ellipsoid around them; repeated until nothing changes.
 
     Only points at most ``height`` over the ground take part.  Each round joins
-    the remaining leaf points to the wood of their tree by cells of the scaled
+    the remaining leaf points to the new wood of their tree by cells of the scaled
     space, so trees of any size are dealt over many tasks; the label of a round
-    depends on the round before, not on any order.
+    depends on the round before, not on any order.  A leaf point stays in its
+    cell; wood goes to the cells that its ellipsoid touches, mostly eight.
     """
     rise = radius if vertical_radius is None else vertical_radius
     able = points.where((F.col(tree) >= 0) & (F.col(wood) >= 0))
@@ -84,28 +87,36 @@ def propagated(points: DataFrame, ground: DataFrame, height: float = 1.35, radiu
     if ground.isEmpty():
         raise ValueError("no ground points")
     able = nearest.height_above_ground(able, ground).where(F.col("height") <= height)
-    origin = able.groupBy(tree).agg(F.min_by(F.struct("x", "y", "z"), "point_id").alias("o"))
-    scaled = able.join(origin, tree).select("point_id", F.col(tree).alias("tree"), F.col(wood).alias("wood"), *(((F.col(a) - F.col(f"o.{a}")) / F.lit(float(s))).alias(f"s{a}") for a, s in zip("xyz", (radius, radius, rise))))
-    keyed = written(scaled.withColumns({f"g{a}": F.floor(F.col(f"s{a}") / 2.0).cast("long") for a in "xyz"}), "scaled")
-    wooden = keyed.where(F.col("wood") == WOOD).select("tree", "gx", "gy", "gz", *(F.col(f"s{a}").alias(f"w{a}") for a in "xyz"), "point_id")
-    leaves = keyed.where(F.col("wood") == LEAF).withColumn("near", F.lit(0).cast("long"))
-    fresh, promoted = wooden, None
+    able = written(able.select("point_id", F.col(tree).alias("tree"), F.col(wood).alias("wood"), "x", "y", "z"), "able")
+    origin = able.groupBy("tree").agg(F.min_by(F.struct("x", "y", "z"), "point_id").alias("o"))
+    scaled = able.join(shuffled(origin), "tree").select("point_id", "tree", "wood", *(((F.col(a) - F.col(f"o.{a}")) / F.lit(float(s))).alias(f"s{a}") for a, s in zip("xyz", (radius, radius, rise))))
+    cells, keyed = ["tree", "gx", "gy", "gz"], written(scaled, "scaled")
+    dropped(able)
+    fresh = keyed.where(F.col("wood") == WOOD)
+    leaves = keyed.where(F.col("wood") == LEAF).withColumns({f"g{a}": F.floor(F.col(f"s{a}") / CELL).cast("long") for a in "xyz"})
+    leaves = leaves.select("point_id", *cells, "sx", "sy", "sz", F.lit(0).cast("long").alias("near"))
+    promoted, before = None, None
+    far = sum((F.pow(F.col(f"s{a}") - F.col(f"w{a}"), F.lit(2.0)) for a in "xyz"), F.lit(0.0))
     while True:  # counts add up: each round brings only the wood that is new
-        met = spread(leaves, ("gx", "gy", "gz")).withColumnRenamed("point_id", "leaf_id").join(fresh.drop("point_id"), ["tree", "gx", "gy", "gz"])
-        far = sum((F.pow(F.col(f"s{a}") - F.col(f"w{a}"), F.lit(2.0)) for a in "xyz"), F.lit(0.0))
-        seen = met.where(far <= 1.0).groupBy(F.col("leaf_id").alias("point_id")).agg(F.count("*").alias("more"))
-        counted = leaves.join(seen, "point_id", "left").withColumn("near", F.col("near") + F.coalesce("more", F.lit(0))).drop("more")
-        counted = written(counted, "counted")
-        turned = counted.where(F.col("near") >= min_points)
+        around = fresh.select(F.col("tree"), *(F.col(f"s{a}").alias(f"w{a}") for a in "xyz"))
+        for a in "xyz":
+            ends = [F.floor((F.col(f"w{a}") + end) / CELL).cast("long") for end in (-REACH, REACH)]
+            around = around.withColumn(f"g{a}", F.explode(F.sequence(*ends)))
+        around = around.select(*(F.col(c).alias(f"{c}__") for c in cells), "wx", "wy", "wz")
+        same = [F.col(c) == F.col(f"{c}__") for c in cells]
+        met = leaves.join(shuffled(around), [*same, far <= 1.0], "left")
+        counted = met.groupBy("point_id", *cells, "sx", "sy", "sz", "near").agg(F.count("wx").alias("more"))
+        counted = written(counted.withColumn("near", F.col("near") + F.col("more")).drop("more"), "counted")
+        dropped(before)
+        turned = written(counted.where(F.col("near") >= min_points), "turned")
         if turned.isEmpty():
+            dropped(counted, turned)
             break
         ids = turned.select("point_id", F.lit(True).alias("turned__"))
         promoted = ids if promoted is None else promoted.unionByName(ids)
-        fresh = turned.select("tree", "gx", "gy", "gz", *(F.col(f"s{a}").alias(f"w{a}") for a in "xyz"), "point_id")
-        leaves = counted.where(F.col("near") < min_points)
+        fresh, before, leaves = turned, counted, counted.where(F.col("near") < min_points)
+    dropped(keyed)
     if promoted is None:
         return points
     joined = points.join(shuffled(promoted), "point_id", "left")
     return joined.withColumn(wood, F.when(F.col("turned__"), F.lit(WOOD)).otherwise(F.col(wood)).cast(points.schema[wood].dataType)).select(points.columns)
-
-

@@ -13,6 +13,8 @@ from ..schema import UNASSIGNED, Config
 from ..sources import las
 from ..streaming.tiles import tile_counts
 from . import fixtures, pipeline
+from .joins import shuffled
+from .scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "xy_components"
@@ -460,8 +462,8 @@ SELECT p.point_id, CAST(CASE WHEN f.point_id IS NOT NULL OR wood.point_id IS NOT
 def wood_propagate(spark, sf_dir):
     own = _trees(spark, sf_dir).withColumn("tree_id", F.col("tree_seed"))
     wood = woodleaf.in_cylinders(own, fixtures.cylinders(own), 0.25).withColumn("w", F.lit(True))
-    start = own.join(wood, "point_id", "left").withColumn("wood_leaf", F.when(F.col("w"), F.lit(0)).otherwise(F.lit(1)).cast("byte")).drop("w")
-    return woodleaf.propagated(start, _ground(spark, sf_dir), 6.0, 0.5, 3, 1.0).select("point_id", "wood_leaf")
+    start = own.join(shuffled(wood), "point_id", "left").withColumn("wood_leaf", F.when(F.col("w"), F.lit(0)).otherwise(F.lit(1)).cast("byte")).drop("w")
+    return woodleaf.propagated(written(start, "start"), _ground(spark, sf_dir), 6.0, 0.5, 3, 1.0).select("point_id", "wood_leaf")
 
 
 @_query("SELECT point_id, CAST(CASE WHEN classification = 7 AND tree_seed % 2 = 0 THEN 1 ELSE -1 END AS TINYINT) AS wood_leaf FROM points")

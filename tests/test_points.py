@@ -437,6 +437,27 @@ def test_stream_counts_per_tile(spark, cloud, tmp_path):
     assert sorted((r["ix"], r["n"]) for r in spark.table("tile_counts").collect()) == [(0, 2), (1, 1)]
 
 
+def test_wood_spreads_as_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    xyz, tree = rng.integers(0, 17, (240, 3)) * 0.125, rng.integers(0, 3, 240)
+    is_wood = rng.random(240) < 0.2
+    rows = [(i, *map(float, p), int(t), int(not w)) for i, (p, t, w) in enumerate(zip(xyz, tree, is_wood))]
+    points = spark.createDataFrame(rows, "point_id long, x double, y double, z double, tree_id int, wood_leaf int")
+    plans, write = [], woodleaf.written
+    monkeypatch.setattr(woodleaf, "written", lambda df, label: (plans.append((label, plan_of(df).split("== physical plan ==")[1])), write(df, label))[1])
+    found = woodleaf.propagated(points, points.limit(1).withColumn("z", F.lit(0.0)), 9.0, 0.375, 3, 0.75).orderBy("point_id").collect()
+    far = (((xyz[:, None] - xyz[None]) / [0.375, 0.375, 0.75]) ** 2).sum(axis=2)
+    near, expected = (far <= 1) & (tree[:, None] == tree[None]), is_wood.copy()
+    while True:
+        more = expected | ((near & expected[None]).sum(axis=1) >= 3)
+        if (more == expected).all():
+            break
+        expected = more
+    assert [r["wood_leaf"] for r in found] == [int(not w) for w in expected] and expected.sum() > is_wood.sum()
+    rounds = [plan for label, plan in plans if label == "counted"]
+    assert len(rounds) > 1 and all(p.count("exchange hashpartitioning") <= 2 and "broadcast" not in p for p in rounds)
+
+
 def test_steps_of_a_segmentation_broadcast_no_points(spark, cloud):
     poles, soil = grove([(0, 0), (12, 4)])
     points, level = cloud(poles, label=[1] * len(poles)), cloud(soil)
